@@ -4,12 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import nearjoin, packing, sharding, tokenfiles
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.link_components(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -18,9 +22,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), spark)
+
+
 QUERIES: dict[str, Query] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
