@@ -2,14 +2,20 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import nearjoin, packing, sharding, tokenfiles
+from . import maxent, nearjoin, packing, sharding, tokenfiles
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _remainder(parts: int) -> Column:
+    """crc32 of the doc_id as text, modulo `parts`; a null doc_id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(0))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_components(table(spark, sf_dir, "documents"))
 
@@ -22,6 +28,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(7) == 2
+    scored = maxent.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), spark)
 
@@ -30,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_maxent_scoring": op9_maxent_scoring,
     "op10_token_files": op10_token_files,
 }
 
