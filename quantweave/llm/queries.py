@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxent, nearjoin, packing, sharding, tokenfiles
+from . import maxent, nearjoin, packing, sharding, tokenfiles, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,12 @@ def _remainder(parts: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(5) == 0
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_components(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,

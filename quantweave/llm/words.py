@@ -79,9 +79,16 @@ class Words:
             first[cut] = last[cut] = True
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last)
         self.bounds = np.searchsorted(self.start, self.edges)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _powers(_R, len(self.data)), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _powers(_R_INVERSE, len(self.data) + 1)[self.start])
+        self._sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * _powers(_R, len(self.data)), out=self._sums[1:])
+        self._back = _powers(_R_INVERSE, len(self.data) + 1)[self.start]
+        self.hash = mix((self._sums[self.end] - self._sums[self.start]) * self._back)
+
+    def prefix(self, k: int) -> np.ndarray:
+        """Hashes of the words' first k bytes; a word of at most k bytes has its own hash."""
+        short = self.end - self.start <= k
+        head = (self._sums[np.minimum(self.start + k, self.end)] - self._sums[self.start]) * self._back
+        return np.where(short, self.hash, mix(head ^ _U(k << 56)))
 
     def row(self) -> np.ndarray:
         """The row of each word."""
