@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxent, nearjoin, packing, sharding, tokenfiles, toxicity
+from . import decontaminate, maxent, nearjoin, packing, sharding, tokenfiles, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_components(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
