@@ -79,7 +79,7 @@ def _items(benchmark: DataFrame, k: int) -> DataFrame:
                     [part.column("item_id").take(pa.array(rows, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["item_id", "size", "print", "grams"]
                 )
 
-    return saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "item_id long, size int, print binary, grams binary"))
+    return saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(task, "item_id long, size int, print binary, grams binary"))
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, least: Fraction) -> Data
                             names=["doc_id", "start", "size", "content", "print", "grams"],
                         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     return saved(rows.mapInArrow(task, "doc_id long, start long, size int, content long, print binary, grams binary"))
 
 
@@ -182,7 +182,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction =
     item of which the document holds a window of similarity `least` or more; the
     most similar window, the first of equals, from word `start` on.
 
-    Words are runs of other than ASCII white space, A-Z lower-cased. A document
+    Words are runs of other than ASCII white space, lower-cased. A document
     shorter than an item is one window. Items of fewer than k words match their
     exact sequence; null, empty and blank items and texts match nothing. Rows
     that share a doc_id or an item_id count as one document or item. Other
