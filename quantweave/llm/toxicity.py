@@ -169,6 +169,20 @@ def features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(task, f"{fields}, whole double, top double, excess double, score double")
 
 
+def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` whose text is not predicted toxic, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches):
+        model = held.value
+        for batch in batches:
+            for part in slices(batch):
+                x = model.features(Words(part.column("text"), cut_tail=True))
+                yield part.filter(pa.array(model.curve[0] + x @ model.curve[1:] < 0))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(task, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= 0.5) of every row.
 
