@@ -1,19 +1,18 @@
 """All queries over the driver tables, by name, and equivalent SQL."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from quantweave.plans import factors, series  # noqa: F401  each registers its queries
+from quantweave.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return ORACLES
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.range(1)
+    return QUERIES["decompose_cross_section"](spark, "/root/testdata/sf0.001")
