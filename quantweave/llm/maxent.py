@@ -34,7 +34,7 @@ ROWS_LOG2 = 14
 #: Words whose counts every task holds; counts of all others are joined.
 KEPT = 1 << 17
 DISCOUNT = 0.6
-BATCH = 1 << 15
+BATCH = 1 << 12
 _U = np.uint64
 _START = _U(0x51ED270B0A1F39C1)
 _END_HASH = _U(0x2545F4914F6CDD1D)
@@ -153,37 +153,46 @@ class Tokens:
             yield self.cls[a : a + BATCH], [f[a : a + BATCH] for f in self.features]
 
 
-def _logits(weights, bias, features):
-    out = weights[features[0]]
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _masses(weights, bias, features):
+    """exp of the classes' scores, and their sums."""
+    out = weights.take(features[0], axis=0)
     for f in features[1:]:
-        out += weights[f]
+        out += weights.take(f, axis=0)
     out += bias
-    out -= out.max(1, keepdims=True)
-    return out
+    np.exp(np.minimum(out, 60, out=out), out=out)
+    return out, out @ _ONES
 
 
 def _class_scores(weights, bias, tokens: Tokens) -> np.ndarray:
     """log10 P(class | history) of every token."""
     found = [np.zeros(0)]
     for cls, features in tokens.batches():
-        z = _logits(weights, bias, features)
-        found.append(z[np.arange(len(cls)), cls] - np.log(np.exp(z).sum(1)))
-    return np.concatenate(found) / np.log(10)
+        mass, total = _masses(weights, bias, features)
+        found.append(np.log10(np.maximum(mass[np.arange(len(cls)), cls], 1e-37)) - np.log10(total))
+    return np.concatenate(found)
 
 
 def _steps(weights, bias, seen, tokens: Tokens, rate: float) -> None:
-    """AdaGrad steps over the tokens, in place."""
+    """Gradient steps over the tokens, in place; a feature's rate falls with the
+    squared gradients that its row has seen."""
+    place, cell = np.zeros(len(weights), np.int64), np.arange(CLASSES)
     for cls, features in tokens.batches():
-        p = np.exp(_logits(weights, bias, features))
-        p /= p.sum(1, keepdims=True)
+        p, total = _masses(weights, bias, features)
+        p /= total[:, None]
         p[np.arange(len(cls)), cls] -= 1
+        flat = p.ravel()
         for f in features:
-            order = np.argsort(f, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
-            slope = np.add.reduceat(p[order], first, axis=0)
-            at = f[order][first]
-            seen[at] += slope * slope
-            weights[at] -= rate * slope / np.sqrt(seen[at])
+            here = np.zeros(len(weights), bool)
+            here[f] = True
+            at = np.flatnonzero(here)
+            place[at] = np.arange(len(at))
+            cells = (place[f] * CLASSES)[:, None] + cell
+            slope = np.bincount(cells.ravel(), weights=flat, minlength=len(at) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
+            seen[at] += np.einsum("ij,ij->i", slope, slope) / CLASSES
+            weights[at] -= slope * (rate / np.sqrt(seen[at]))[:, None]
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +216,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15)
         start = context.broadcast(weights)
 
         def task(batches, start=start):
-            own, seen, n = start.value.copy(), np.full(start.value.shape, 1.0, np.float32), 0
+            own, seen, n = start.value.copy(), np.ones(len(start.value), np.float32), 0
             for batch in batches:
                 for part in slices(batch):
                     tokens = Tokens(Words(part.column("text")), counts.head)
