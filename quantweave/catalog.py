@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantweave.plans import factors, series  # noqa: F401  each registers its queries
+from quantweave.plans import factors, intraday, network, series  # noqa: F401  each registers its queries
 from quantweave.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -214,7 +214,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction =
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 2) for c in ("print", "item_print"))
                 yield batch.select(["content", "size", "item_id"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= RADIUS))
 
-    close = looked.join(under.withColumnRenamed("size", "item_size"), "key").where("size = item_size").select("content", "size", "item_id", "print", "item_print")
+    # an item has thousands of keys: far more than Spark, which sees the items, would guess
+    close = looked.join(under.withColumnRenamed("size", "item_size").hint("merge"), "key").where("size = item_size").select("content", "size", "item_id", "print", "item_print")
     close = close.mapInArrow(near, "content long, size int, item_id long").distinct()
     pairs = close.join(distinct.select("content", "size", "grams"), ["content", "size"]).join(items.select("item_id", "size", F.col("grams").alias("item_grams")), ["item_id", "size"])
 

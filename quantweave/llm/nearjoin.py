@@ -7,9 +7,9 @@
    is not empty. Sets of like size get a key for each part from its contents;
    parts are few elements wide, so texts that merely share passages rarely
    agree on one.
-3. Nodes that agree on a part of three elements or more, or on one that more
-   than `SMALL` nodes have, are joined into candidate groups. Small agreements
-   across groups are single pairs to check.
+3. Nodes that agree on a part of `FIRM` elements or more, or on one that more
+   than `SMALL` nodes have, are joined into candidate groups. Other agreements
+   across groups are single pairs to check, first by small bitmaps of the sets.
 4. Signature trees find the links inside each group; groups too large for one
    task are split into blocks by size, and pairs of blocks of near size are
    searched like groups.
@@ -22,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
 from .shared import saved
 from .signature_tree import links, overlap, similar
 from .words import Words, mix, shingles, slices
 
-SMALL = 32
+SMALL, FIRM = 32, 4
 #: Shingles that one task's block holds, about.
 BLOCK = 1 << 21
 _SLOTS = 1 << 23
@@ -58,7 +59,7 @@ class Sizes:
 
 
 def part_keys(elements: np.ndarray, mixed: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of a sorted set; the lowest bit tells whether three elements or more stand behind."""
+    """Keys of a sorted set; the lowest bit tells whether FIRM elements or more stand behind."""
     out, own = [], sizes.band(len(elements))
     for band in {own, max(own - 1, 0)}:
         if not sizes.differ[band]:
@@ -68,7 +69,7 @@ def part_keys(elements: np.ndarray, mixed: np.ndarray, sizes: Sizes) -> np.ndarr
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         count = np.diff(np.append(first, len(part)))
         value = mix(np.add.reduceat(mixed, first) ^ mix(part[first] + _U(band << 40)))
-        out.append(value & ~_U(1) | (count >= 3).astype(np.uint64))
+        out.append(value & ~_U(1) | (count >= FIRM).astype(np.uint64))
         if parts - len(first) > spare:  # agreement on an empty part may be all there is
             none = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first], assume_unique=True)
             out.append(mix(mix(none + _U(band << 40)) + _U(77)) & ~_U(1))
@@ -88,15 +89,33 @@ def _name(mixed: np.ndarray) -> int:
     return int(mix(np.array([mixed.sum(dtype=np.uint64) + _U(len(mixed))], np.uint64)).view(np.int64)[0])
 
 
+def bitmap(elements: np.ndarray) -> bytes:
+    """A bit for each element's hash, two to four times as many bits as elements."""
+    bits = np.zeros(1 << max(6, (2 * len(elements) - 1).bit_length()), bool)
+    bits[(elements & _U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
+    """No less than the common elements of sets of n and m elements with these bitmaps."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    count = lambda z: int(np.bitwise_count(z).sum())
+    return count(x & y) + min(n - count(x), m - count(y))
+
+
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, node for every row; node is null for a text without words."""
+    """doc_id, n, node, bits for every row; node and bits are null for a text without words."""
 
     def task(batches):
         for part, sets in shingle_sets(batches, k):
             node = [_name(mix(s)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node", "bits"])
 
-    return docs.mapInArrow(task, "doc_id long, n long, node long")
+    return docs.mapInArrow(task, "doc_id long, n long, node long, bits binary")
 
 
 def agreements(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
@@ -163,8 +182,8 @@ def agreements(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
 
 
 def _wanted(nodes: DataFrame) -> DataFrame:
-    """One row a node: n and the smallest doc_id that has it."""
-    return nodes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    """One row a node: n, its bitmap and the smallest doc_id that has it."""
+    return nodes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -230,15 +249,20 @@ def _deal(members: DataFrame, least: Fraction, block: int) -> DataFrame:
     small = known.where(F.col("total") <= block).select("node", "label", F.lit(0).alias("side"), F.concat(F.lit("bin "), F.pmod(F.xxhash64("label"), F.lit(bins))).alias("g"))
     fine = float(np.log(1 / float(least)) / 4)
     large = known.where(F.col("total") > block).withColumn("band", F.floor(F.log("n") / fine).cast("int"))
-    salts = large.groupBy("label", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("salts"))
-    placed = large.join(salts, ["label", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    blocks = salts.select("label", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    other = blocks.select("label", F.col("band").alias("band2"), F.col("salt").alias("salt2"))
+    # neighbouring bands share a block as long as they fit; a band too large for one has several
+    bands = large.groupBy("label", "band").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(W.partitionBy("label").orderBy("band").rowsBetween(W.unboundedPreceding, -1))
+    bands = bands.withColumns({"block": F.floor(F.coalesce(before, F.lit(0)) / block).cast("int"), "salts": F.ceil(F.col("size") / block).cast("int")}).drop("size")
+    placed = large.join(bands, ["label", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    blocks = bands.groupBy("label", "block").agg(F.min("band").alias("low"), F.max("band").alias("high"), F.max("salts").alias("salts")).select("label", "block", "low", "high", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = blocks.select("label", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("salt").alias("salt2"))
     # similar sizes lie 4 fine bands apart at most, and one more for rounding
-    near = blocks.join(other, "label").where("band2 between band and band + 5 and (band2 > band or salt2 >= salt)")
-    name = F.concat_ws(" ", F.lit("blocks"), "label", "band", "salt", "band2", "salt2").alias("g")
-    both = near.select("label", name, F.explode(F.array_distinct(F.array(F.struct("band", "salt", F.lit(0).alias("side")), F.struct(F.col("band2").alias("band"), F.col("salt2").alias("salt"), F.when((F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2")), 0).otherwise(1).alias("side"))))).alias("x"))
-    dealt = placed.join(both.select("label", "g", "x.*"), ["label", "band", "salt"]).select("node", "label", "side", "g")
+    near = blocks.join(other, "label").where("(block2 > block and low2 <= high + 5) or (block2 = block and salt2 >= salt)")
+    name = F.concat_ws(" ", F.lit("blocks"), "label", "block", "salt", "block2", "salt2").alias("g")
+    same = (F.col("block") == F.col("block2")) & (F.col("salt") == F.col("salt2"))
+    ends = F.array(F.struct("block", "salt", F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.col("salt2").alias("salt"), F.when(same, 0).otherwise(1).alias("side")))
+    both = near.select("label", name, F.explode(F.array_distinct(ends)).alias("x"))
+    dealt = placed.join(both.select("label", "g", "x.*"), ["label", "block", "salt"]).select("node", "label", "side", "g")
     return small.union(dealt)
 
 
@@ -257,10 +281,18 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
     nodes = saved(nodes_of(rows, k))
     edges = saved(agreements(rows, k, least))
     label = saved(components(edges.where("firm").select("a", "b")))
+    one = saved(_wanted(nodes))
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
     check = edges.where("not firm").select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    check = saved(check.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b").distinct())
-    one = saved(_wanted(nodes))
+    check = check.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b").distinct()
+    part = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def possible(batches):
+        for batch in batches:
+            keep = [bool(similar(min(n, m), n, m, least)) and bool(similar(overlap_bound(x, y, n, m), n, m, least)) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    check = saved(check.join(part("a"), "a").join(part("b"), "b").mapInArrow(possible, "a long, b long"))
     members = label.join(one.select("node", "n"), "node")
     dealt = saved(_deal(members, least, block))
     found = _group_links(dealt.join(_sets(rows, one.join(dealt, "node", "left_semi"), k).groupBy("node").agg(F.first("elements").alias("elements")), "node"), least)
@@ -280,6 +312,6 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
     links_ = found.union(pairs.mapInArrow(verify, "a long, b long"))
     final = saved(components(links_))
     # a class: the label of linked nodes, else the node itself, else the document
-    classed = nodes.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    classed = nodes.drop("bits").join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
     first = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     return classed.join(first, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
