@@ -1,15 +1,15 @@
 """Documents linked by the Jaccard similarity of their word n-grams.
 
-1. A text becomes its set of shingle hashes; equal sets are one node.
-2. Blocks without loss. Two sets of a and b elements that reach the similarity
-   t differ in at most (a + b) (1 - t) / (1 + t) elements. The hash range is
-   cut into more parts than that, so linked sets agree on some whole part that
-   is not empty. Sets of like size get a key for each part from its contents;
-   parts are few elements wide, so texts that merely share passages rarely
-   agree on one.
-3. Nodes that agree on a part of `FIRM` elements or more, or on one that more
-   than `SMALL` nodes have, are joined into candidate groups. Other agreements
-   across groups are single pairs to check, first by small bitmaps of the sets.
+1. A text becomes its set of shingle hashes; equal sets are one node. Tasks also
+   count, in a table of fixed size, how many sets have a shingle.
+2. Prefixes without loss. All shingles are put in one order, the rare first by
+   those counts. Sets of n elements that reach the similarity t share one of
+   their first n - ceil(t n) + 1 elements, whatever the order: so these are a
+   set's keys, and passages that many texts share are rarely among them.
+3. Up to `SMALL` nodes of a key are pairs to check, first by small bitmaps of
+   the sets. In a crowd, more nodes with one key, a signature tree over the
+   bitmaps joins those that may be similar into candidate groups; a crowd of
+   more than `CROWD` nodes is a group as a whole.
 4. Signature trees find the links inside each group; groups too large for one
    task are split into blocks by size, and pairs of blocks of near size are
    searched like groups.
@@ -26,54 +26,26 @@ from pyspark.sql import Window as W
 
 from .components import components
 from .shared import saved
-from .signature_tree import links, overlap, similar
+from .signature_tree import links, overlap, possible_links, similar
 from .words import Words, mix, shingles, slices
 
-SMALL, FIRM = 32, 4
+SMALL, CROWD = 32, 1 << 14
+PAIR, MEMBER, STAR = 0, 1, 2
+#: Counters of shingles. A task reports those that stand out from its mean.
+COUNTERS = 1 << 20
+STANDS_OUT = 8
 #: Shingles that one task's block holds, about.
 BLOCK = 1 << 21
 _SLOTS = 1 << 23
 _U = np.uint64
 
 
-class Sizes:
-    """Bands of set sizes: similar sets lie in one band or in two neighbours."""
-
-    def __init__(self, least: Fraction):
-        self.least, edges = least, [1]
-        while edges[-1] < 1 << 40:
-            edges.append(edges[-1] * least.denominator // least.numerator + 1)
-        self.edges = np.array(edges, np.int64)
-        num, den = least.denominator - least.numerator, least.denominator + least.numerator
-        #: Most elements in which two similar sets differ, the smaller being in band c.
-        self.differ = [(edges[c + 1] - 1 + edges[c + 2] - 1) * num // den for c in range(len(edges) - 2)]
-
-    def band(self, n: int) -> int:
-        return int(np.searchsorted(self.edges, n, "right")) - 1
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """Parts for pairs whose smaller set is in the band, and empty parts that a set may have there."""
-        k = self.differ[band]
-        spare = 3 + k // 50
-        return k + 1 + spare, spare
-
-
-def part_keys(elements: np.ndarray, mixed: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of a sorted set; the lowest bit tells whether FIRM elements or more stand behind."""
-    out, own = [], sizes.band(len(elements))
-    for band in {own, max(own - 1, 0)}:
-        if not sizes.differ[band]:
-            continue  # only equal sets are similar here
-        parts, spare = sizes.parts(band)
-        part = ((elements >> _U(32)) * _U(parts)) >> _U(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        count = np.diff(np.append(first, len(part)))
-        value = mix(np.add.reduceat(mixed, first) ^ mix(part[first] + _U(band << 40)))
-        out.append(value & ~_U(1) | (count >= FIRM).astype(np.uint64))
-        if parts - len(first) > spare:  # agreement on an empty part may be all there is
-            none = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first], assume_unique=True)
-            out.append(mix(mix(none + _U(band << 40)) + _U(77)) & ~_U(1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def prefix_keys(elements: np.ndarray, rank: np.ndarray, least: Fraction) -> np.ndarray:
+    """Keys of a set without repeats; `rank`: a class of commonness for each counter."""
+    n = len(elements)
+    many = n - -(-n * least.numerator // least.denominator) + 1
+    order = rank[(elements >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(56) | elements >> _U(8)
+    return order if many >= n else np.partition(order, many - 1)[:many]
 
 
 def shingle_sets(batches, k: int):
@@ -108,34 +80,62 @@ def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
 
 
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, node, bits for every row; node and bits are null for a text without words."""
+    """doc_id, n, node, bits for every row; node and bits are null for a text
+    without words. Further rows with n = -1 hold a task's counters in bits."""
+
+    def row(doc_id, n, node, bits):
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "bits"])
 
     def task(batches):
+        counts = np.zeros(COUNTERS, np.int64)
         for part, sets in shingle_sets(batches, k):
             node = [_name(mix(s)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node", "bits"])
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> _U(44)).astype(np.int64), minlength=COUNTERS)
+            yield row(part.column("doc_id"), [len(s) for s in sets], node, [bitmap(s) if len(s) else None for s in sets])
+        high = np.flatnonzero(counts >= STANDS_OUT + 4 * counts.mean())
+        if len(high):
+            yield row(pa.nulls(1, pa.int64()), [-1], [None], [np.stack([high, counts[high]]).tobytes()])
 
     return docs.mapInArrow(task, "doc_id long, n long, node long, bits binary")
 
 
-def agreements(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
-    """Edges (a, b, firm) between nodes that share a part's key, as stars; not firm: pairs to check."""
+def ranks(nodes: DataFrame) -> np.ndarray:
+    """For each counter the binary logarithm of its sum over all tasks' reports."""
+
+    def task(batches):
+        for batch in batches:
+            for x in batch.column("bits"):
+                at, n = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["at", "n"])
+
+    # COUNTERS rows at most
+    got = nodes.where("n = -1").select("bits").mapInArrow(task, "at int, n long").groupBy("at").agg(F.floor(F.log2(F.sum("n"))).cast("byte").alias("rank")).toArrow()
+    rank = np.zeros(COUNTERS, np.uint8)
+    rank[got.column("at").to_numpy()] = got.column("rank").to_numpy()
+    return rank
+
+
+def agreements(docs: DataFrame, k: int, least: Fraction, rank: np.ndarray) -> DataFrame:
+    """(a, b, kind) of nodes that share a key. PAIR: nodes to check; MEMBER: a key
+    that more nodes have, and one of them; STAR: two nodes of a yet larger one."""
+    held = docs.sparkSession.sparkContext.broadcast(rank)
 
     def keys(batches):
-        sizes = Sizes(least)
+        rank = held.value
         for _, sets in shingle_sets(batches, k):
-            found, node = [], []
+            found, node, seen = [], [], set()
             for s in sets:
-                if len(s):
-                    mixed = mix(s)
-                    found.append(part_keys(s, mixed, sizes))
-                    node.append(np.full(len(found[-1]), _name(mixed), np.int64))
+                if len(s) and (name := _name(mix(s))) not in seen:
+                    seen.add(name)
+                    found.append(prefix_keys(s, rank, least))
+                    node.append(np.full(len(found[-1]), name, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(node))], names=["key", "node"])
 
     def runs(batches):
         """Sorted by key and node. The last run of a batch waits for the next; of
-        a large one only the first node."""
+        a run beyond CROWD only the first node."""
         key, node, large = np.zeros(0, np.int64), np.zeros(0, np.int64), False
 
         def edges(key, node, large):
@@ -144,22 +144,18 @@ def agreements(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
             key, node, new = key[keep], node[keep], new[keep]
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(key)))
-            whole = (count > SMALL) | (key[first] & 1 == 1)
-            whole[0] |= large
-            head = np.repeat(node[first], count)
-            star = np.repeat(whole, count) & ~new
-            a, b, firm = [head[star]], [node[star]], [np.ones(int(star.sum()), bool)]
-            for i in np.flatnonzero(~whole & (count > 1)):
+            kind = np.where(count > CROWD, STAR, np.where(count > SMALL, MEMBER, PAIR))
+            if large:
+                kind[0] = STAR
+            head, of = np.repeat(node[first], count), np.repeat(kind, count)
+            star, member = (of == STAR) & ~new, of == MEMBER
+            a, b = [head[star], key[member]], [node[star], node[member]]
+            for i in np.flatnonzero((kind == PAIR) & (count > 1)):
                 x, y = np.triu_indices(count[i], 1)
                 a.append(node[first[i] + x])
                 b.append(node[first[i] + y])
-                firm.append(np.zeros(len(x), bool))
-            a, b, firm = map(np.concatenate, (a, b, firm))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((firm, high, low))
-            low, high, firm = low[order], high[order], firm[order]
-            same = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (firm[1:] != firm[:-1])]) if len(low) else np.zeros(0, bool)
-            return pa.RecordBatch.from_arrays([pa.array(low[same]), pa.array(high[same]), pa.array(firm[same])], names=["a", "b", "firm"])
+            many = [len(a[0]), len(a[1]), sum(map(len, a[2:]))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.repeat([STAR, MEMBER, PAIR], many), pa.int32())], names=["a", "b", "kind"])
 
         for batch in batches:
             if not len(batch):
@@ -170,15 +166,44 @@ def agreements(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
             if last:
                 yield edges(key[:last], node[:last], large)
                 key, node, large = key[last:], node[last:], False
-            if len(key) > 4 * SMALL and len(np.unique(node)) > SMALL:
-                large = True
-                yield edges(key, node, True)
-                key, node = key[:1], node[:1]
+            if len(key) > CROWD:
+                # the nodes are in order: an exact copy's rows are one
+                keep = np.concatenate([[True], node[1:] != node[:-1]])
+                key, node = key[keep], node[keep]
+                if large or len(key) > CROWD:
+                    large = True
+                    yield edges(key, node, True)
+                    key, node = key[:1], node[:1]
         if len(key):
             yield edges(key, node, large)
 
     dealt = docs.mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(runs, "a long, b long, firm boolean").distinct()
+    return dealt.mapInArrow(runs, "a long, b long, kind int")
+
+
+def _crowd_links(crowds: DataFrame, least: Fraction) -> DataFrame:
+    """Edges that join the nodes of each key (key, node, n, bits) that may be similar."""
+
+    def fold(bits: bytes, words: int) -> np.ndarray:
+        return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words), axis=0)
+
+    def task(table: pa.Table) -> pa.Table:
+        node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        bits = table.column("bits").to_pylist()
+        words = np.array([len(x) // 8 for x in bits])
+        a, b = [], []
+        # similar sets have bitmaps of one size, or one has twice the other's
+        for w in np.unique(words):
+            own, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+            for some, side in ((own, None), (np.concatenate([own, twice]), np.repeat([0, 1], [len(own), len(twice)]))):
+                if len(some) > 1 and (side is None or len(twice)):
+                    maps = np.stack([fold(bits[i], int(w)) for i in some])
+                    for x, y in possible_links(n[some], maps, least, side):
+                        a.append(int(node[some[x]]))
+                        b.append(int(node[some[y]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return crowds.groupBy("key").applyInArrow(task, "a long, b long")
 
 
 def _wanted(nodes: DataFrame) -> DataFrame:
@@ -278,13 +303,16 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
     and has a null id unless linked. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = saved(nodes_of(rows, k))
-    edges = saved(agreements(rows, k, least))
-    label = saved(components(edges.where("firm").select("a", "b")))
+    made = saved(nodes_of(rows, k))
+    nodes = made.where("n >= 0")
+    edges = saved(agreements(rows, k, least, ranks(made)))
     one = saved(_wanted(nodes))
+    crowds = edges.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).join(one.select("node", "n", "bits"), "node")
+    # edges are stored before the components: so no task holds two Python workers
+    label = saved(components(saved(edges.where(F.col("kind") == STAR).select("a", "b").union(_crowd_links(crowds, least)))))
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    check = edges.where("not firm").select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    check = check.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b").distinct()
+    check = edges.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(named("a"), "a", "left").join(named("b"), "b", "left")
+    check = check.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
     part = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     def possible(batches):
@@ -309,8 +337,7 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = check.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    links_ = found.union(pairs.mapInArrow(verify, "a long, b long"))
-    final = saved(components(links_))
+    final = saved(components(saved(found.union(pairs.mapInArrow(verify, "a long, b long")))))
     # a class: the label of linked nodes, else the node itself, else the document
     classed = nodes.drop("bits").join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
     first = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))

@@ -29,17 +29,13 @@ def similar(common, a, b, least: Fraction):
 
 
 class _Tree:
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.n = np.array([len(s) for s in sets], np.int64)
-        words = bits // 64
-        maps = np.zeros((len(sets), bits), bool)
-        for row, s in zip(maps, sets, strict=True):
-            row[(s % np.uint64(bits)).astype(np.int64)] = True
-        self.maps = np.packbits(maps, axis=1).view(np.uint64).reshape(len(sets), words)
+    """Over sets of n elements, in order of n, with these bitmaps of 64-bit words."""
+
+    def __init__(self, n: np.ndarray, maps: np.ndarray):
+        self.n, self.maps = n, maps
         #: Elements that share a bit with another: no bitmap shows them.
-        self.hidden = self.n - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
-        at = list(range(0, len(sets), LEAF))
-        level = [(i, min(i + LEAF, len(sets)), ()) for i in at]
+        self.hidden = n - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        level = [(i, min(i + LEAF, len(n)), ()) for i in range(0, len(n), LEAF)]
         while len(level) > 1:
             level = [(g[0][0], g[-1][1], tuple(g)) for g in (level[i : i + FAN] for i in range(0, len(level), FAN))]
         self.root = self._node(level[0])
@@ -57,11 +53,36 @@ def links(sets: list[np.ndarray], least: Fraction, cross: np.ndarray | None = No
     each set, only pairs across sides count."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[i] for i in order]
-    side = None if cross is None else cross[order]
-    most = max(len(s) for s in sets)
-    bits = 1 << min(16, max(8, (8 * most - 1).bit_length()))
-    tree = _Tree(sets, bits)
-    group = np.arange(len(sets))
+    bits = 1 << min(16, max(8, (8 * len(sets[-1]) - 1).bit_length()))
+    maps = np.zeros((len(sets), bits), bool)
+    for row, s in zip(maps, sets, strict=True):
+        row[(s % np.uint64(bits)).astype(np.int64)] = True
+    tree = _Tree(np.array([len(s) for s in sets], np.int64), np.packbits(maps, axis=1).view(np.uint64))
+    true = lambda p, q: similar(overlap(sets[p], sets[q]), len(sets[p]), len(sets[q]), least)
+    return _search(tree, order, np.arange(len(sets)), least, None if cross is None else cross[order], true)
+
+
+def possible_links(n: np.ndarray, maps: np.ndarray, least: Fraction, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The same by bitmaps alone: a forest that joins all sets of which these do not rule out that they are similar."""
+    order = np.argsort(n, kind="stable")
+    tree = _Tree(n[order], maps[order])
+    group, found, side = np.arange(len(n)), [], None if cross is None else cross[order]
+    # most sets of a crowd are like its middle one
+    mid = len(n) // 2
+    top = np.bitwise_count(tree.maps & tree.maps[mid]).sum(1, dtype=np.int64) + np.minimum(tree.hidden, tree.hidden[mid])
+    like = similar(np.minimum(top, np.minimum(tree.n, tree.n[mid])), tree.n, tree.n[mid], least)
+    like[mid] = False
+    if side is not None:
+        like &= side != side[mid]
+    near = np.flatnonzero(like)
+    if len(near):
+        found = [(int(order[mid]), int(order[q])) for q in near]
+        group[near] = group[mid] = min(mid, int(near[0]))
+    return found + _search(tree, order, group, least, side, lambda p, q: True)
+
+
+def _search(tree: _Tree, order: np.ndarray, group: np.ndarray, least: Fraction, side: np.ndarray | None, true) -> list[tuple[int, int]]:
+    """Pairs, by `order`, that `true` accepts and that join groups; `group`: labels of what is joined already."""
     found: list[tuple[int, int]] = []
 
     def pairs(x, y):
@@ -78,7 +99,7 @@ def links(sets: list[np.ndarray], least: Fraction, cross: np.ndarray | None = No
         a, b = np.nonzero(ok)
         for p in np.argsort(-top[a, b], kind="stable"):
             p, q = int(i[a[p]]), int(j[b[p]])
-            if group[p] != group[q] and similar(overlap(sets[p], sets[q]), len(sets[p]), len(sets[q]), least):
+            if group[p] != group[q] and true(p, q):
                 relabel(group, p, q)
                 found.append((int(order[p]), int(order[q])))
 
