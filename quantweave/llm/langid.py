@@ -146,7 +146,8 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     def tally(key: str) -> DataFrame:
         return table.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[c.cast("double") for c in _counts(size)]).alias(f"{key}_n"))
 
-    out = _scored(rows.withColumns({k: F.col(c) for k, c in evidence.items()} | {"_text": F.col(text)}), model, "_text").drop("_text")
+    # the text passes through Python once, in its own column
+    out = _scored(rows.withColumns({k: F.col(c) for k, c in evidence.items()}), model, text)
     for key in ("_declared", "_suffix"):
         out = out.join(likelihood(key), key, "left")
     for key in ("_domain", "_host"):
@@ -222,6 +223,9 @@ def keep_identified(docs: DataFrame, model: TextModel, least: float = 0.5) -> Da
     The source serves as host. Texts without any word of letters are rejected,
     as are null and empty ones; all columns are kept as they are.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("none"))
-    found = identify(packed, model, "text", "none", "none", "none", "host")
-    return found.where((F.col("confidence") >= least) & F.col("text_language").isNotNull()).select("row.*")
+    # other names, so that none clashes with those of `identify`
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in names.items())).withColumns({"host": F.col(names["source"]).cast("string"), "none": F.lit(None).cast("string")})
+    found = identify(rows, model, names["text"], "none", "none", "none", "host")
+    kept = found.where((F.col("confidence") >= least) & F.col("text_language").isNotNull())
+    return kept.select(*(F.col(k).alias(c) for c, k in names.items()))

@@ -25,7 +25,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _R, _R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _power: dict[int, np.ndarray] = {}
 #: Bytes of text that are worked on at a time; one longer text goes alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
