@@ -10,27 +10,27 @@ from quantweave.operators import sorts as Q
 from quantweave.sources import panels
 
 from .registry import query
-from .series import r6, rounded
+from .series import r6, rounded, unsigned_zeros
 
 
 @query(
     "decompose_cross_section",
     """WITH b AS (SELECT t, regr_slope(r, q) AS b FROM ret WHERE r IS NOT NULL AND q IS NOT NULL GROUP BY t HAVING count(*) >= 5)
-    SELECT t, asset, round(b, 6) AS slope, round(b * q, 6) AS fitted, round(r - b * q, 6) AS residual FROM ret JOIN b USING (t) WHERE r IS NOT NULL AND q IS NOT NULL""",
+    SELECT t, asset, round(b, 6) + 0.0 AS slope, round(b * q, 6) + 0.0 AS fitted, round(r - b * q, 6) + 0.0 AS residual FROM ret JOIN b USING (t) WHERE r IS NOT NULL AND q IS NOT NULL""",
     ("ret",),
 )
 def decompose_cross_section(spark, sf):
-    return rounded(G.decompose_cross_section(panels.weekly_returns(spark, sf)), "t", "asset", slope="slope", fitted="fitted", residual="residual")
+    return unsigned_zeros(rounded(G.decompose_cross_section(panels.weekly_returns(spark, sf)), "t", "asset", slope="slope", fitted="fitted", residual="residual"), "slope", "fitted", "residual")
 
 
 @query(
     "decompose_rolling",
     """WITH b AS (SELECT *, CASE WHEN count(CASE WHEN r IS NOT NULL AND q IS NOT NULL THEN 1 END) OVER f >= 26 THEN regr_slope(r, q) OVER f END AS b FROM ret WINDOW f AS (PARTITION BY asset ORDER BY t_idx ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
-    SELECT t, asset, round(b, 6) AS slope, round(b * q, 6) AS fitted, round(r - b * q, 6) AS residual FROM b WHERE r IS NOT NULL AND q IS NOT NULL AND b IS NOT NULL""",
+    SELECT t, asset, round(b, 6) + 0.0 AS slope, round(b * q, 6) + 0.0 AS fitted, round(r - b * q, 6) + 0.0 AS residual FROM b WHERE r IS NOT NULL AND q IS NOT NULL AND b IS NOT NULL""",
     ("ret",),
 )
 def decompose_rolling(spark, sf):
-    return rounded(G.decompose_rolling(panels.weekly_returns(spark, sf)), "t", "asset", slope="slope", fitted="fitted", residual="residual")
+    return unsigned_zeros(rounded(G.decompose_rolling(panels.weekly_returns(spark, sf)), "t", "asset", slope="slope", fitted="fitted", residual="residual"), "slope", "fitted", "residual")
 
 
 _PAIRS = "p AS (SELECT t, t_idx, asset, r, q FROM ret WHERE r IS NOT NULL AND q IS NOT NULL), win AS (SELECT c.t AS wt, p.* FROM cal c JOIN p ON p.t_idx BETWEEN c.t_idx - 51 AND c.t_idx)"

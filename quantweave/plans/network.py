@@ -9,7 +9,7 @@ from quantweave.operators import recursive as R
 from quantweave.sources import panels
 
 from .registry import query
-from .series import r6, rounded
+from .series import r6, rounded, unsigned_zeros
 
 
 def _window(spark, sf):
@@ -295,12 +295,12 @@ def class_scores(spark, sf):
 @query(
     "bimodality",
     f"""WITH {_FEAT}, {_CLS}, c AS (SELECT t, count(*) FILTER (size = 10 AND cls = 9) tp, count(*) FILTER (size = 10 AND cls = 0) fp, count(*) FILTER (size <> 10 AND cls = 0) tn, count(*) FILTER (size <> 10 AND cls = 9) fn FROM cl GROUP BY t)
-    SELECT t, round(-(CASE WHEN tp + fp > 0 THEN (tp - fp) / (tp + fp)::DOUBLE ELSE 0 END + CASE WHEN tn + fn > 0 THEN (tn - fn) / (tn + fn)::DOUBLE ELSE 0 END) / 2, 6) AS bm FROM c""",
+    SELECT t, round(-(CASE WHEN tp + fp > 0 THEN (tp - fp) / (tp + fp)::DOUBLE ELSE 0 END + CASE WHEN tn + fn > 0 THEN (tn - fn) / (tn + fn)::DOUBLE ELSE 0 END) / 2, 6) + 0.0 AS bm FROM c""",
     ("mret",),
 )
 def bimodality(spark, sf):
     rows = labels.return_class(_features(spark, sf)).select("t", F.col("cls").alias("true_cls"), (F.col("size") - 1).alias("pred_cls"))
-    return rounded(labels.bimodality(rows), "t", bm="bm")
+    return unsigned_zeros(rounded(labels.bimodality(rows), "t", bm="bm"), "bm")
 
 
 @query(

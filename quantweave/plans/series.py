@@ -17,6 +17,11 @@ def r6(c, name=None):
     return F.round(c, 6).alias(name) if name else F.round(c, 6)
 
 
+def unsigned_zeros(df, *names):
+    """-0.0 becomes 0.0."""
+    return df.withColumns({c: F.col(c) + F.lit(0.0) for c in names})
+
+
 def rounded(df, *keep, **cols):
     """Keys as they are; other columns to six decimals."""
     return df.select(*keep, *(r6(v, k) for k, v in cols.items()))
