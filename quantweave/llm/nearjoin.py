@@ -313,14 +313,16 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
     check = edges.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(named("a"), "a", "left").join(named("b"), "b", "left")
     check = check.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
-    part = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    part = lambda c, of: one.select(F.col("node").alias(c), F.col(of).alias(f"{of}_{c}"))
+    # sizes first: they leave few pairs that need the bitmaps
+    check = check.join(part("a", "n"), "a").join(part("b", "n"), "b").where(similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), least))
 
     def possible(batches):
         for batch in batches:
-            keep = [bool(similar(min(n, m), n, m, least)) and bool(similar(overlap_bound(x, y, n, m), n, m, least)) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)]
+            keep = [bool(similar(overlap_bound(x, y, n, m), n, m, least)) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    check = saved(check.join(part("a"), "a").join(part("b"), "b").mapInArrow(possible, "a long, b long"))
+    check = saved(check.join(part("a", "bits"), "a").join(part("b", "bits"), "b").mapInArrow(possible, "a long, b long"))
     members = label.join(one.select("node", "n"), "node")
     dealt = saved(_deal(members, least, block))
     found = _group_links(dealt.join(_sets(rows, one.join(dealt, "node", "left_semi"), k).groupBy("node").agg(F.first("elements").alias("elements")), "node"), least)
