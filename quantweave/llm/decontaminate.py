@@ -30,7 +30,7 @@ WIDTH = BITS // BLOCKS
 #: Vectors at the cosine of two equal-sized bags with similarity 0.8 differ in 19
 #: bits on average, and in more than 31 once in three hundred times.
 RADIUS = 31
-_FLAGS = 1 << 25
+FLAGS = 1 << 25
 _U = np.uint64
 _NEIGHBOURS = np.array([sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), r)], np.uint16)
 
@@ -82,12 +82,12 @@ def _items(benchmark: DataFrame, k: int) -> DataFrame:
     return saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(task, "item_id long, size int, print binary, grams binary"))
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
+def bitmap(values: DataFrame) -> np.ndarray:
     """One bit for each `at` of the rows: 4 MB, whatever their number."""
     # Spark's bitmap functions count values from 1
     at = values.select((F.col("at") + 1).alias("at"))
     bits = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    flags = np.zeros(_FLAGS // 8, np.uint8)
+    flags = np.zeros(FLAGS // 8, np.uint8)
     for part, some in bits.collect():
         flags[(part - 1) * 4096 : (part - 1) * 4096 + len(some)] = np.frombuffer(bytes(some), np.uint8)
     return flags
@@ -110,7 +110,7 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, least: Fraction) -> Data
                     at.append(_flag(_sized(g, size) if sized else g))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at))], names=["at"])
 
-        return _bitmap(items.select("size", "grams").mapInArrow(task, "at long"))
+        return bitmap(items.select("size", "grams").mapInArrow(task, "at long"))
 
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     held = docs.sparkSession.sparkContext.broadcast((flags(False), flags(True), sizes))
