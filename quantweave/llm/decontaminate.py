@@ -141,7 +141,7 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, least: Fraction) -> Data
                 short = [s for s in sizes if s < k]
                 # items of fewer than k words are runs of their own length
                 for length, its in [(k, [s for s in sizes if s >= k])] + [(s, [s]) for s in short]:
-                    value, bounds = shingles(words, length)
+                    value, bounds = shingles(words, length, k - length)  # hashed as the items' are
                     hit = _set(some, value)
                     count = np.concatenate([[0], np.cumsum(hit)])
                     per = count[bounds[1:]] - count[bounds[:-1]]
