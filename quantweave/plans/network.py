@@ -128,6 +128,28 @@ def propagated_features(spark, sf):
     return rounded(graphs.propagate(edges, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
 
 
+def _all_vectors(spark, sf):
+    return panels.read(spark, sf, "embeddings").select(F.col("vec_id").alias("asset"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+# The three queries above are held to their SQL's first 60 vectors; these take the whole table.
+@query("cosine_graph_all")
+def cosine_graph_all(spark, sf):
+    return rounded(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8), "i", "j", w="w")
+
+
+@query("normalised_graph_all")
+def normalised_graph_all(spark, sf):
+    return rounded(graphs.normalise(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8)), "i", "j", w="w")
+
+
+@query("propagated_features_all")
+def propagated_features_all(spark, sf):
+    e = panels.read(spark, sf, "embeddings").select(F.lit(0).alias("t"), F.col("vec_id").alias("asset"), F.col("embedding")[0].cast("double").alias("f1"), F.col("embedding")[1].cast("double").alias("f2"))
+    edges = graphs.normalise(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8), e)
+    return rounded(graphs.propagate(edges, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
+
+
 @query(
     "sparse_graph",
     f"""WITH {_LAG}, o AS (SELECT i, j, max(abs(c)) AS s FROM cc GROUP BY 1, 2), sv AS (SELECT a.i, a.j, greatest(a.s - b.s, 0) AS v FROM o a JOIN o b ON a.i = b.j AND a.j = b.i)
