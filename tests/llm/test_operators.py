@@ -267,6 +267,25 @@ def test_host_boilerplate_without_an_article(spark):
     assert got[9].startswith("Subscribe")
 
 
+def _prose(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+
+def test_repeated_text_of_articles(spark):
+    rng = np.random.default_rng(5)
+    notice, short, phrase = _prose(rng, 30), "Read more of us", _prose(rng, 8)
+    own = [_prose(rng, 80) for _ in range(8)]
+    page = lambda *parts: "<article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    data = [(i, f"http://h.example.com/{i}", page(f"{own[i]} {phrase} end{i}", f"tail{i} {notice}", short, *(["See also"] if i < 3 else []))) for i in range(8)]
+    # near copies of one text, on a host with other pages
+    base = _prose(rng, 200).split()
+    data += [(20 + i, f"http://n.example.com/{i}", page(" ".join([*base[: 9 * i], f"new{i}", *base[9 * i + 1 :]]))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in rows(extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    for i in range(8):
+        assert got[i] == "\n".join([f"{own[i]} {phrase} end{i}", f"tail{i}", *(["See also"] if i < 3 else [])])
+        assert got[20 + i].split() == [*base[: 9 * i], f"new{i}", *base[9 * i + 1 :]]
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 
