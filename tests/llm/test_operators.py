@@ -267,6 +267,21 @@ def test_host_boilerplate_without_an_article(spark):
     assert got[9].startswith("Subscribe")
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body class="home no-sidebar"><p>A real text</p></body>', "A real text"),
+        ('<article class="post comments-open"><p>A real text</p></article>', "A real text"),
+        ('<html class="search"><body id="social"><main class="widget"><h1 class="notice">Head</h1><p>A text</p></main></body></html>', "Head\nA text"),
+        ('<article><p>One</p><section id="discussion"><h2 id="related-work">Related work</h2><p>Two</p></section></article>', "One\nRelated work\nTwo"),
+        ('<article><p>One</p><div class="related"><a href="/x">Other page</a></div><div class="comments"><p>Nice</p></div></article><div class="main-nav">Go</div>', "One"),
+        ('<div class="sidebar">Side</div><div class="no-sidebar">A text</div>', "A text"),
+    ],
+)
+def test_names_alone_drop_no_text(page, text):
+    assert "\n".join(t for k, t in extract.blocks(page) if k < 2) == text
+
+
 def _prose(rng, n):
     return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
 
