@@ -31,44 +31,47 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+_EDGE = np.uint8(32)
+#: Prior odds that a text is in none of the languages.
+OTHER = 1e-4
 
 
-def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of letters and word edges, and their rows' bounds."""
+def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams around each letter, their bytes (trigrams, 3), and their rows' bounds.
+
+    What is no letter is a word edge, as are both ends of a text: each text with a letter has a trigram.
+    """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None else np.zeros(0, np.uint8)
     data, edges = _LOWER[data], edges - edges[0]
-    blank = _BLANK[data]
-    data = np.where(blank, np.uint8(32), data)
-    fit = _LETTER[data] | blank
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(edges), np.int64)
-    whole = fit[:-2] & fit[1:-1] & fit[2:] & ~blank[1:-1]
-    for edge in (edges[1:-1] - 1, edges[1:-1] - 2):  # across two rows
-        whole[edge[(edge >= 0) & (edge < len(whole))]] = False
-    at = np.flatnonzero(whole)
-    wide = data.astype(np.uint32)
-    code = (wide[at] << np.uint32(16)) | (wide[at + 1] << np.uint32(8)) | wide[at + 2]
-    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), np.searchsorted(at, edges)
+    data = np.where(_LETTER[data], data, _EDGE)
+    # an edge before each text, and one after the last
+    data = np.append(np.insert(data, edges[:-1], _EDGE), _EDGE)
+    at = np.flatnonzero(data != _EDGE)
+    parts = np.stack([data[at - 1], data[at], data[at + 1]], 1)
+    wide = parts.astype(np.uint32)
+    code = (wide[:, 0] << np.uint32(16)) | (wide[:, 1] << np.uint32(8)) | wide[:, 2]
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), parts, np.searchsorted(at, edges + np.arange(len(edges)))
 
 
 @dataclass
 class TextModel:
     languages: list[str]
     logs: np.ndarray  # (BUCKETS, languages) log P(trigram | language)
+    background: np.ndarray  # (256,) log P(byte), whatever the bytes beside it
 
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted log-likelihoods of each row, and how many trigrams it has."""
-        grams, bounds = _trigrams(texts)
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted log-likelihoods of each row, that of the background, and how many trigrams it has."""
+        grams, parts, bounds = _trigrams(texts)
         n = np.diff(bounds)
         sums = np.zeros((len(grams) + 1, len(self.languages)))
         np.cumsum(self.logs[grams], axis=0, out=sums[1:])
         total = sums[bounds[1:]] - sums[bounds[:-1]]
-        return total * (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None], n
+        base = np.concatenate([np.zeros(1), np.cumsum(self.background[parts].sum(1))])
+        weight = np.minimum(n, WEIGHT) / np.maximum(n, 1)
+        return total * weight[:, None], (base[bounds[1:]] - base[bounds[:-1]]) * weight, n
 
 
 def fit(docs: DataFrame) -> TextModel:
@@ -79,28 +82,39 @@ def fit(docs: DataFrame) -> TextModel:
 
     def task(batches):
         total = np.zeros((max(len(languages), 1), BUCKETS), np.int64)
+        each = np.zeros(256, np.int64)
         for batch in batches:
             for part in slices(batch):
                 place = {x: i for i, x in enumerate(languages)}
                 own = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
-                grams, bounds = _trigrams(part.column("text"))
+                grams, parts, bounds = _trigrams(part.column("text"))
+                each += np.bincount(parts.ravel(), minlength=256)
                 row = np.repeat(own, np.diff(bounds))
                 keep = row >= 0
                 total += np.bincount(row[keep] * BUCKETS + grams[keep], minlength=total.size).reshape(total.shape)
         language, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[language, bucket])], names=["language", "bucket", "n"])
+        seen = np.flatnonzero(each)  # language -1: bytes
+        arrays = [np.append(language, np.full(len(seen), -1)), np.append(bucket, seen), np.append(total[language, bucket], each[seen])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["language", "bucket", "n"])
 
     counts = np.zeros((BUCKETS, len(languages)))
     # BUCKETS rows a language at most
     got = labelled.mapInArrow(task, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    if len(got):
-        counts[got.column("bucket").to_numpy(), got.column("language").to_numpy()] = got.column("n").to_numpy()
+    language, bucket, n = (got.column(c).to_numpy() for c in ("language", "bucket", "n"))
+    own = language >= 0
+    counts[bucket[own], language[own]] = n[own]
     counts += 0.5
-    return TextModel(languages, np.log(counts / counts.sum(0)))
+    single = np.zeros(256)
+    single[bucket[~own]] = n[~own]
+    # half as in the labelled texts, else any letter: rare ones are no sign of a language
+    plain, letters = np.zeros(256), _LETTER.astype(float)
+    plain[97:123] = plain[_EDGE] = letters[_EDGE] = 1
+    mixed = 0.5 * single / max(single.sum(), 1) + 0.4 * plain / plain.sum() + 0.1 * letters / letters.sum()
+    return TextModel(languages, np.log(counts / counts.sum(0)), np.log(np.maximum(mixed, 1e-9)))
 
 
 def _scored(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
-    """The rows with text_scores (array) and text_lang (position; null without a trigram)."""
+    """The rows with text_scores (array), text_other (the background's) and text_lang (position; null without a trigram)."""
     held = rows.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
@@ -108,12 +122,12 @@ def _scored(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
         model = held.value
         for batch in batches:
             for part in slices(batch, text):
-                scores, n = model.scores(part.column(text))
+                scores, other, n = model.scores(part.column(text))
                 best = scores.argmax(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * scores.shape[1], pa.int32()), pa.array(scores.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(best, pa.int32(), mask=n == 0)], names=[*part.schema.names, "text_scores", "text_lang"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(other), pa.array(best, pa.int32(), mask=n == 0)], names=[*part.schema.names, "text_scores", "text_other", "text_lang"])
 
-    return rows.mapInArrow(task, f"{fields}, text_scores array<double>, text_lang int")
+    return rows.mapInArrow(task, f"{fields}, text_scores array<double>, text_other double, text_lang int")
 
 
 def _counts(size: int) -> list[Column]:
@@ -126,7 +140,8 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     The arguments after the model name string columns of `rows`; null values and
     nulls of whole columns are evidence that is missing. Ties go to the language
     first in the alphabet. Other columns are kept. The names of the new columns
-    and `text_scores`, `text_lang` must be free.
+    and `text_scores`, `text_other`, `text_lang` must be free. Confidence falls where
+    single bytes tell a text as well as the language does: gibberish, other languages.
     """
     names, size = model.languages, len(model.languages)
     if not size:
@@ -170,10 +185,12 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     out = out.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
     known = F.col("text_lang").isNotNull() | F.col("_declared").isNotNull() | F.col("_suffix").isNotNull() | F.col("_host_n").isNotNull()
     languages = F.array(*[F.lit(x) for x in names])
+    best = F.array_position("_logs", F.col("_top")).cast("int")
+    misfit = F.when(F.col("text_lang").isNotNull(), OTHER * F.exp(F.least(F.col("text_other") - F.element_at("text_scores", best), F.lit(700.0)))).otherwise(0.0)
     out = out.withColumns(
         {
-            "language": F.when(known, F.element_at(languages, F.array_position("_logs", F.col("_top")).cast("int"))),
-            "confidence": F.when(known, 1 / F.aggregate(F.transform("_logs", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0)),
+            "language": F.when(known, F.element_at(languages, best)),
+            "confidence": F.when(known, 1 / (misfit + F.aggregate(F.transform("_logs", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x))).otherwise(F.lit(0.0)),
             "text_language": F.get(languages, F.col("text_lang")),
         }
     )
@@ -220,7 +237,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """The rows of `docs` (text, source, ...) whose language is known with confidence `least`.
 
-    The source serves as host. Texts without any word of letters are rejected,
+    The source serves as host. Texts without any letter are rejected,
     as are null and empty ones; all columns are kept as they are.
     """
     # other names, so that none clashes with those of `identify`

@@ -383,3 +383,14 @@ def test_language_identification(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()}.isdisjoint({0, 1, 2})
     assert langid.keep_identified(no_docs, langid.fit(no_docs)).count() == 0
+
+
+def test_short_texts_stay_and_gibberish_goes(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": "the house and a garden with this tree re. was", "de": "das haus und der garten mit de. einem baum nicht"}
+    docs = [(i, " ".join(rng.permutation(words[lang].split() * 200)), lang, lang, 1) for i in range(200) for lang in [("en", "de")[i % 2]]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    model = langid.fit(spark.createDataFrame(docs, schema))
+    more = [(900, "Re.", None, "en", 1), (901, "A.", None, "en", 1), (902, "De.", None, "de", 1), (903, "das Haus!", None, None, 1), (904, "12 345.", None, "en", 1), (905, "qxq jzvk wqpx zzkj vvxq qkzj xxwv pqzx", None, "en", 1)]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(docs + more, schema), model).collect()}
+    assert kept == {*range(200), 900, 901, 902, 903}
