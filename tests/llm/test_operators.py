@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -301,6 +302,57 @@ def test_repeated_text_of_articles(spark):
         assert got[20 + i].split() == [*base[: 9 * i], f"new{i}", *base[9 * i + 1 :]]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_runs_are_brute_force(monkeypatch, seed):
+    """Random token streams over few words, in two groups, against a loop over all windows; every page is a content."""
+    monkeypatch.setattr(extract, "_contents", lambda words, left, starts: np.arange(len(starts), dtype=np.uint64))
+    rng = np.random.default_rng(seed)
+    shared = [list(rng.integers(0, 40, 30)) for _ in range(3)]
+    pages, kinds, group = [], [], np.sort(rng.integers(0, 2, 40))
+    for _ in group:
+        blocks = []
+        for _ in range(rng.integers(0, 4)):
+            words = list(rng.integers(0, 4000, rng.integers(1, 40)))
+            if rng.random() < 0.5:
+                at, run = rng.integers(0, len(words) + 1), shared[rng.integers(0, 3)]
+                words[at:at] = run[rng.integers(0, 6) :]
+            blocks.append(" ".join(map(str, words)))
+            kinds.append(int(rng.random() < 0.5))
+        pages.append(blocks)
+    got = extract.clean(pa.array(pages, pa.list_(pa.string())), np.array(kinds, np.uint8), group)
+    kind = iter(kinds)
+    windows, of, contents = {}, [], {0: set(), 1: set()}
+    for p, blocks in enumerate(pages):
+        of.append([next(kind) for _ in blocks])
+        if blocks:
+            contents[group[p]].add(p)
+        for b in blocks:
+            w = b.split(" ")
+            for i in range(len(w) - extract.LONG + 1):
+                windows.setdefault((group[p], tuple(w[i : i + extract.LONG])), set()).add(p)
+    for p, blocks in enumerate(pages):
+        want = []
+        for b, k in zip(blocks, of[p]):
+            w, total = b.split(" "), len(contents[group[p]])
+            gone = set()
+            for i in range(len(w) - extract.LONG + 1):
+                n = len(windows[group[p], tuple(w[i : i + extract.LONG])])
+                if n >= extract.CONTENTS and n >= total * (extract.ELSEWHERE if k else extract.IN_ARTICLE):
+                    gone.update(range(i, i + extract.LONG))
+            left = " ".join(x for i, x in enumerate(w) if i not in gone)
+            want += [left] if left else []
+        assert got[p] == "\n".join(want)
+
+
+def test_a_large_host_is_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PAGES", 20)
+    rng = np.random.default_rng(6)
+    notice = _prose(rng, 25)
+    data = [(i, "http://www.big.example.com/x", f"<article><p>{_prose(rng, 40)}</p><p>{notice}</p></article>") for i in range(130)]
+    got = rows(extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")))
+    assert len(got) == 130 and all(len(r["text"].split()) == 40 for r in got)
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 
