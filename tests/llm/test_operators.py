@@ -238,6 +238,41 @@ def test_nearest(spark):
     assert neighbours.nearest(few, F.col("vec_id") % 50 == 0).count() == 2
 
 
+def _brute_nearest(data, queries, k=5):
+    """Cosines in extended precision, whatever the size of the components."""
+    v = {}
+    for i, x in data:
+        x = np.asarray(x, np.float64)
+        x = (x / np.abs(x).max()).astype(np.longdouble)
+        v.setdefault(i, []).append(x / np.sqrt((x * x).sum()))
+    out = {}
+    for q in queries:
+        best = {i: max(float((a * b).sum()) for a in v[q] for b in v[i]) for i in v if i != q}
+        out[q] = sorted(best.items(), key=lambda x: (-round(x[1], 13), x[0]))[:k]
+    return out
+
+
+def test_nearest_of_repeated_and_huge_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    rng = np.random.default_rng(14)
+    data = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((400, 12)) + 4 * rng.standard_normal((8, 12))[rng.integers(0, 8, 400)])]
+    data += [(0, data[0][1])] * 3 + [(50, data[7][1]), (1000, (np.array(data[3][1]) * 1e200).tolist()), (1001, (np.array(data[3][1]) * 1e-200).tolist()), (1050, [1.0] * 12)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in rows(neighbours.nearest(df, F.col("vec_id") % 50 == 0, points=30)):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = _brute_nearest(data, [i for i in dict(data) if i % 50 == 0])
+    hits = 0
+    for q, best in want.items():
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
+        assert len({v for _, v, _ in mine}) == 5
+        hits += len({v for v, _ in best} & {v for _, v, _ in mine})
+    assert hits / (5 * len(want)) >= 0.9
+    assert {3, 1001} <= {v for _, v, _ in got[1000]}
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
