@@ -182,7 +182,7 @@ def _strategies(spark, sf):
 
 @query(
     "performance_summary",
-    f"""WITH {_STRAT}, e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY t)) AS eq FROM st WHERE r IS NOT NULL), d AS (SELECT *, eq / max(eq) OVER (PARTITION BY strategy ORDER BY t) - 1 AS dd FROM e),
+    f"""WITH {_STRAT}, e AS (SELECT *, CASE WHEN bool_or(r <= -1) OVER (PARTITION BY strategy ORDER BY t) THEN 0 ELSE exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY strategy ORDER BY t)) END AS eq FROM st WHERE r IS NOT NULL), d AS (SELECT *, coalesce(eq / nullif(max(eq) OVER (PARTITION BY strategy ORDER BY t), 0), 0) - 1 AS dd FROM e),
     s AS (SELECT strategy, count(r) AS n, avg(r) * 12 AS ann_ret, stddev_samp(r) * sqrt(12) AS ann_vol, avg(r) / stddev_samp(r) * sqrt(12) AS sharpe, coalesce(stddev_samp(r) FILTER (r < 0), 0) * sqrt(12) AS down_dev, min(dd) AS max_dd,
       avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, coalesce(avg(r) FILTER (r > 0), 0) / greatest(abs(coalesce(avg(r) FILTER (r < 0), 0)), 1e-10) AS profit_loss, avg(r) / (stddev_samp(r) / sqrt(count(r))) AS t_stat, avg(CASE WHEN dd < 0 THEN 1.0 ELSE 0.0 END) AS under_water FROM d GROUP BY strategy)
     SELECT strategy, n, round(ann_ret, 6) AS ann_ret, round(ann_vol, 6) AS ann_vol, round(sharpe, 6) AS sharpe, round(CASE WHEN down_dev > 1e-12 THEN ann_ret / down_dev ELSE 0 END, 6) AS sortino, round(max_dd, 6) AS max_dd,
@@ -196,7 +196,7 @@ def performance_summary(spark, sf):
 
 @query(
     "performance_conventions",
-    f"""WITH {_STRAT} SELECT strategy, round(exp(sum(ln(1 + r)) * 12 / count(r)) - 1, 6) AS geometric, round(stddev_pop(r) * sqrt(12), 6) AS pop_vol, round((avg(r) - 0.04 / 12) / stddev_pop(r) * sqrt(12), 6) AS pop_sharpe,
+    f"""WITH {_STRAT} SELECT strategy, round(CASE WHEN bool_or(r <= -1) THEN -1 ELSE exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) * 12 / count(r)) - 1 END, 6) AS geometric, round(stddev_pop(r) * sqrt(12), 6) AS pop_vol, round((avg(r) - 0.04 / 12) / stddev_pop(r) * sqrt(12), 6) AS pop_sharpe,
     round(exp(sum(r) / (count(r) / 12.0)) - 1, 6) AS log_annual, round(exp(sum(r)) - 1, 4) AS cumulative FROM st GROUP BY strategy""",
     ("mret",),
 )
@@ -223,7 +223,8 @@ def cost_sweep(spark, sf):
 
 @query(
     "breakeven_cost",
-    f"""WITH {_STRAT}, b AS (SELECT range AS bps FROM range(500)), n AS (SELECT strategy, bps, exp(sum(ln(1 + r - bps / 10000.0 * turnover)) * 12 / count(r)) - 1 AS ann FROM st CROSS JOIN b WHERE r IS NOT NULL GROUP BY 1, 2)
+    f"""WITH {_STRAT}, b AS (SELECT range AS bps FROM range(500)), x AS (SELECT strategy, bps, r - bps / 10000.0 * coalesce(turnover, 0) AS net FROM st CROSS JOIN b WHERE r IS NOT NULL),
+    n AS (SELECT strategy, bps, CASE WHEN bool_or(net <= -1) THEN -1 ELSE exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) * 12 / count(*)) - 1 END AS ann FROM x GROUP BY 1, 2)
     SELECT strategy, min(CASE WHEN ann <= 0 THEN bps END)::INT AS breakeven_bps FROM n GROUP BY 1""",
     ("mret",),
 )
@@ -234,7 +235,7 @@ def breakeven_cost(spark, sf):
 @query(
     "crash_rate",
     f"""WITH {_STRAT}, s AS (SELECT range AS shift FROM range(12)), x AS (SELECT strategy, t_idx, coalesce(r, 0) AS r, shift, floor((t_idx - shift) / 12.0) AS block FROM st CROSS JOIN s WHERE t_idx >= shift),
-    e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, shift, block ORDER BY t_idx)) AS eq FROM x), d AS (SELECT *, eq / max(eq) OVER (PARTITION BY strategy, shift, block ORDER BY t_idx) - 1 AS dd FROM e),
+    e AS (SELECT *, CASE WHEN bool_or(r <= -1) OVER (PARTITION BY strategy, shift, block ORDER BY t_idx) THEN 0 ELSE exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY strategy, shift, block ORDER BY t_idx)) END AS eq FROM x), d AS (SELECT *, coalesce(eq / nullif(max(eq) OVER (PARTITION BY strategy, shift, block ORDER BY t_idx), 0), 0) - 1 AS dd FROM e),
     b AS (SELECT strategy, shift, block, count(*) AS n, min(dd) AS dd FROM d GROUP BY 1, 2, 3) SELECT strategy, round(avg(CASE WHEN dd < -0.2 THEN 1.0 ELSE 0.0 END), 6) AS crash_rate, count(*) AS blocks FROM b WHERE n = 12 GROUP BY 1""",
     ("mret",),
 )

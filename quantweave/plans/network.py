@@ -96,57 +96,40 @@ def leadlag_strategy(spark, sf):
 
 # --- graphs -----------------------------------------------------------------------------------
 
-_VEC = "vec AS (SELECT vec_id AS asset, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 60)"
-_UNIT = "u AS (SELECT asset, k, v / (sqrt(sum(v * v) OVER (PARTITION BY asset)) + 1e-10) AS v FROM vec)"
-_COS = f"WITH {_VEC}, {_UNIT}, cs AS (SELECT a.asset AS i, b.asset AS j, sum(a.v * b.v) AS s FROM u a JOIN u b USING (k) WHERE a.asset <> b.asset GROUP BY 1, 2)"
-_GRAPH = f"{_COS}, cut AS (SELECT quantile_cont(s, 0.8) AS c FROM cs WHERE s > 0), g AS (SELECT i, j, s - c AS w FROM cs, cut WHERE s > c)"
+_VEC = "vec AS (SELECT vec_id AS asset, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_UNIT = "u AS (SELECT asset, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-10)) AS v FROM vec)"
+_COS = f"WITH {_VEC}, {_UNIT}, hf AS (SELECT a.asset AS i, b.asset AS j, round(list_dot_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.asset < b.asset), cs AS (SELECT * FROM hf UNION ALL SELECT j, i, s FROM hf)"
+_GRAPH = f"{_COS}, cut AS (SELECT round(quantile_cont(s, 0.8), 12) AS c FROM cs WHERE s > 0), g AS (SELECT i, j, s - c AS w FROM cs, cut WHERE s > c)"
 
 
 def _vectors(spark, sf):
-    e = panels.read(spark, sf, "embeddings").where("vec_id < 60")
-    return e.select(F.lit(0).alias("t"), F.col("vec_id").alias("asset"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    return panels.read(spark, sf, "embeddings").select(F.col("vec_id").alias("asset"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+
 
+_COSINE = f"{_GRAPH} SELECT i, j, round(w, 6) AS w FROM g"
+_NORMALISED = f"{_GRAPH}, d AS (SELECT i, sum(w) AS d FROM g GROUP BY i) SELECT g.i, g.j, round(w / sqrt(a.d * b.d), 6) AS w FROM g JOIN d a ON a.i = g.i JOIN d b ON b.i = g.j"
+_PROPAGATED = f"""{_GRAPH}, l AS (SELECT * FROM g UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings), d AS (SELECT i, sum(w) AS d FROM l GROUP BY i), n AS (SELECT l.i, l.j, w / sqrt(a.d * b.d) AS w FROM l JOIN d a ON a.i = l.i JOIN d b ON b.i = l.j)
+    SELECT n.i AS asset, round(sum(w * embedding[1]::DOUBLE), 6) AS f1, round(sum(w * embedding[2]::DOUBLE), 6) AS f2 FROM n JOIN embeddings e ON e.vec_id = n.j GROUP BY 1"""
 
-@query("cosine_graph", f"{_GRAPH} SELECT i, j, round(w, 6) AS w FROM g")
+
+# all vectors; the second names are from when the first took a part only
+@query("cosine_graph_all", _COSINE)
+@query("cosine_graph", _COSINE)
 def cosine_graph(spark, sf):
-    return rounded(graphs.cosine_graph(_vectors(spark, sf), 8), "i", "j", w="w")
+    return rounded(graphs.whole_cosine_graph(_vectors(spark, sf), 8), "i", "j", w="w")
 
 
-@query("normalised_graph", f"{_GRAPH}, d AS (SELECT i, sum(w) AS d FROM g GROUP BY i) SELECT g.i, g.j, round(w / sqrt(a.d * b.d), 6) AS w FROM g JOIN d a ON a.i = g.i JOIN d b ON b.i = g.j")
+@query("normalised_graph_all", _NORMALISED)
+@query("normalised_graph", _NORMALISED)
 def normalised_graph(spark, sf):
-    return rounded(graphs.normalise(graphs.cosine_graph(_vectors(spark, sf), 8)), "i", "j", w="w")
+    return rounded(graphs.normalise(graphs.whole_cosine_graph(_vectors(spark, sf), 8)), "i", "j", w="w")
 
 
-@query(
-    "propagated_features",
-    f"""{_GRAPH}, l AS (SELECT * FROM g UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id < 60), d AS (SELECT i, sum(w) AS d FROM l GROUP BY i), n AS (SELECT l.i, l.j, w / sqrt(a.d * b.d) AS w FROM l JOIN d a ON a.i = l.i JOIN d b ON b.i = l.j)
-    SELECT n.i AS asset, round(sum(w * embedding[1]::DOUBLE), 6) AS f1, round(sum(w * embedding[2]::DOUBLE), 6) AS f2 FROM n JOIN embeddings e ON e.vec_id = n.j GROUP BY 1""",
-)
+@query("propagated_features_all", _PROPAGATED)
+@query("propagated_features", _PROPAGATED)
 def propagated_features(spark, sf):
-    e = panels.read(spark, sf, "embeddings").where("vec_id < 60").select(F.lit(0).alias("t"), F.col("vec_id").alias("asset"), F.col("embedding")[0].cast("double").alias("f1"), F.col("embedding")[1].cast("double").alias("f2"))
-    edges = graphs.normalise(graphs.cosine_graph(_vectors(spark, sf), 8), e)
-    return rounded(graphs.propagate(edges, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
-
-
-def _all_vectors(spark, sf):
-    return panels.read(spark, sf, "embeddings").select(F.col("vec_id").alias("asset"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
-
-
-# The three queries above are held to their SQL's first 60 vectors; these take the whole table.
-@query("cosine_graph_all")
-def cosine_graph_all(spark, sf):
-    return rounded(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8), "i", "j", w="w")
-
-
-@query("normalised_graph_all")
-def normalised_graph_all(spark, sf):
-    return rounded(graphs.normalise(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8)), "i", "j", w="w")
-
-
-@query("propagated_features_all")
-def propagated_features_all(spark, sf):
     e = panels.read(spark, sf, "embeddings").select(F.lit(0).alias("t"), F.col("vec_id").alias("asset"), F.col("embedding")[0].cast("double").alias("f1"), F.col("embedding")[1].cast("double").alias("f2"))
-    edges = graphs.normalise(graphs.whole_cosine_graph(_all_vectors(spark, sf), 8), e)
+    edges = graphs.normalise(graphs.whole_cosine_graph(_vectors(spark, sf), 8), e)
     return rounded(graphs.propagate(edges, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
 
 
@@ -168,7 +151,7 @@ def _yearly(spark, sf):
 
 
 _YEAR = """vec AS (SELECT floor(t_idx / 12.0)::INT AS t, asset, t_idx % 12 AS k, r AS v FROM mret WHERE r IS NOT NULL), u AS (SELECT t, asset, k, v / (sqrt(sum(v * v) OVER (PARTITION BY t, asset)) + 1e-10) AS v FROM vec),
-    cs AS (SELECT a.t, a.asset AS i, b.asset AS j, sum(a.v * b.v) AS s FROM u a JOIN u b USING (t, k) WHERE a.asset <> b.asset GROUP BY 1, 2, 3), cut AS (SELECT t, quantile_cont(s, 0.5) AS c FROM cs WHERE s > 0 GROUP BY t),
+    hf AS (SELECT a.t, a.asset AS i, b.asset AS j, round(sum(a.v * b.v), 12) AS s FROM u a JOIN u b USING (t, k) WHERE a.asset < b.asset GROUP BY 1, 2, 3), cs AS (SELECT * FROM hf UNION ALL SELECT t, j, i, s FROM hf), cut AS (SELECT t, round(quantile_cont(s, 0.5), 12) AS c FROM cs WHERE s > 0 GROUP BY t),
     g AS (SELECT t, i, j, s - c AS w FROM cs JOIN cut USING (t) WHERE s > c)"""
 
 

@@ -40,9 +40,7 @@ def _close(a, b):
     return a == b
 
 
-#: Open: these agree on the larger tables, but on the smallest one row or more differs.
-OPEN = {"breakeven_cost", "graph_ensemble", "graph_topology"}
-NAMES = [pytest.param(n, marks=pytest.mark.xfail(reason="differs from its SQL on the smallest tables")) if n in OPEN else n for n in sorted(catalog.oracles())]
+NAMES = sorted(catalog.oracles())
 
 
 @pytest.mark.skipif(not SF.is_dir(), reason="the driver's tables are not here")
