@@ -158,7 +158,7 @@ def vol_target(sigma: Column, target: float = 0.1, bars: int = 276) -> Column:
 
 
 def volatility_fit(panel: DataFrame) -> DataFrame:
-    """Log variance by time of day, lagged volume and an exponential average of what is left.
+    """Log variance by time of day and lagged volume, within the sample; `fit_and_predict` looks ahead.
 
     Time-of-day effects are means of log_r2; the rest is regressed on the volume
     deviation of the bar before, with a slope of its own for each time of day."""
@@ -168,3 +168,101 @@ def volatility_fit(panel: DataFrame) -> DataFrame:
     own = W.partitionBy("ticker", "interval")
     rows = rows.withColumn("beta", F.coalesce(F.try_divide(F.sum(F.col("v1") * F.col("rest")).over(own), F.nullif(F.sum(F.col("v1") * F.col("v1")).over(own), F.lit(0.0))), F.lit(0.0)))
     return rows.withColumns({"fitted": F.col("tod") + F.col("beta") * F.col("v1")}).withColumn("residual", F.col("log_r2") - F.col("fitted"))
+
+
+def matched_averages(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, n, mean_a, mean_b) over the bars that both sources have, a row a field.
+
+    `by` names columns of the matched bars: ticker, or ticker and hhmm."""
+    fields = ("open", "high", "low", "close", "volume")
+    both = a.select("ticker", "ts", *[F.col(f).alias(f"a_{f}") for f in fields]).join(b.select("ticker", "ts", *[F.col(f).alias(f"b_{f}") for f in fields]), ["ticker", "ts"]).withColumn("hhmm", hhmm())
+    long = both.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("a"), F.col(f"b_{f}").alias("b")) for f in fields])).alias("x"))
+    return long.groupBy(*by, "x.field").agg(F.count("*").alias("n"), F.avg("x.a").alias("mean_a"), F.avg("x.b").alias("mean_b"))
+
+
+def rolling_difference(aligned: DataFrame, value: str = "abs_diff", most: int = 78) -> DataFrame:
+    """`smooth`: mean of the last min(most, max(5, n / 10)) values by ticker, n being its bars."""
+    n = aligned.groupBy("ticker").agg(F.count("*").alias("_n"))
+    rows = aligned.join(F.broadcast(n), "ticker").withColumn("_w", F.least(F.lit(most), F.greatest(F.lit(5), F.floor(F.col("_n") / 10))))
+    run = W.partitionBy("ticker").orderBy("ts")
+    # the widest frame, of which the last _w values count
+    seen = F.collect_list(value).over(run.rowsBetween(-(most - 1), 0))
+    rows = rows.withColumn("_v", F.slice(seen, -F.least(F.col("_w"), F.size(seen)).cast("int"), F.least(F.col("_w"), F.size(seen)).cast("int")))
+    return rows.withColumn("smooth", F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.size("_v")).drop("_n", "_w", "_v")
+
+
+def largest(rows: DataFrame, value: str, many: int = 15, ties: tuple[str, ...] = ("ticker", "ts")) -> DataFrame:
+    """The `many` rows of the greatest values, as a report."""
+    return rows.where(F.col(value).isNotNull()).orderBy(F.desc(value), *ties).limit(many)
+
+
+def sample_dates(bars: DataFrame) -> DataFrame:
+    """(ticker, place, trade_date): the first, middle and last trade date of each ticker."""
+    days = bars.select("ticker", trade_date().alias("trade_date")).distinct()
+    own = W.partitionBy("ticker")
+    days = days.withColumns({"k": F.row_number().over(own.orderBy("trade_date")) - 1, "n": F.count("*").over(own)})
+    place = F.array_compact(F.array(F.when(F.col("k") == 0, F.lit("first")), F.when(F.col("k") == F.floor(F.col("n") / 2), F.lit("middle")), F.when(F.col("k") == F.col("n") - 1, F.lit("last"))))
+    return days.select("ticker", F.explode(place).alias("place"), "trade_date")
+
+
+def fit_and_predict(panel: DataFrame, train_end, smoothing: float = 0.94) -> DataFrame:
+    """Bars after trade date `train_end` with tod, tod_v, x_t and h_pred; nothing of them enters the fit.
+
+    Trained: volume means and deviations, time-of-day means of log_r2 and slopes on the
+    lagged volume deviation, each by time of day. x_t is the exponential average of what
+    was left of the bar before, its prediction included: x' = s x + (1 - s) (log_r2 - h)."""
+    from .recursive import _numbers, fold
+
+    early = F.col("trade_date") <= F.lit(train_end)
+    volume = panel.where(early).groupBy("ticker", "interval").agg(F.avg("log_vol").alias("_m"), F.greatest(F.coalesce(F.stddev_samp("log_vol"), F.lit(0.0)), F.lit(1e-8)).alias("_s"), F.avg("log_r2").alias("tod"))
+    rows = panel.join(volume, ["ticker", "interval"]).withColumn("vol_dev", (F.col("log_vol") - F.col("_m")) / F.col("_s"))
+    # the bar before, within the training or the predicted bars
+    run = W.partitionBy("ticker", early).orderBy("ts")
+    rows = rows.withColumn("v1", F.coalesce(F.lag("vol_dev").over(run), F.lit(0.0)))
+    slope = rows.where(early).groupBy("ticker", "interval").agg(F.coalesce(F.try_divide(F.sum(F.col("v1") * (F.col("log_r2") - F.col("tod"))), F.sum(F.col("v1") * F.col("v1"))), F.lit(0.0)).alias("beta"))
+    late = rows.where(~early).join(slope, ["ticker", "interval"]).withColumn("tod_v", F.col("beta") * F.col("v1")).withColumn("_rest", F.col("log_r2") - F.col("tod") - F.col("tod_v"))
+
+    def smooth(rows):
+        rest, x = _numbers(rows["_rest"]), [0.0] * len(rows)
+        for k in range(1, len(x)):
+            x[k] = smoothing * x[k - 1] + (1 - smoothing) * (rest[k - 1] - x[k - 1])
+        return {"x_t": x}
+
+    made = fold(late, smooth, {"x_t": "double"}, ("ticker",), "ts")
+    return made.withColumn("h_pred", F.col("tod") + F.col("tod_v") + F.col("x_t")).drop("_m", "_s", "_rest", "beta")
+
+
+def managed_strategies(bars: DataFrame, window: int, bars_a_day: int, cost_bps: float = 1.0, delay: int = 2) -> DataFrame:
+    """(ticker, ts, strategy, r): buy and hold, the position of a constant volatility, of the
+    rolling one and of the last day's, net of cost on position changes; traded `delay` bars late."""
+    run = W.partitionBy("ticker").orderBy("ts")
+    rows = bars.withColumn("r", F.col("close") / F.lag("close").over(run) - 1)
+    square = F.avg(F.col("r") * F.col("r"))
+
+    def sigma(frame, least):
+        return F.when(F.count("r").over(frame) >= least, F.sqrt(square.over(frame)))
+
+    all_before, rolling, day = run.rowsBetween(W.unboundedPreceding, 0), run.rowsBetween(-(window - 1), 0), run.rowsBetween(-(bars_a_day - 1), 0)
+    least = max(window // 4, 2)
+    positions = {"hold": F.lit(1.0), "constant": vol_target(sigma(all_before, least), 0.1, bars_a_day), "rolling": vol_target(sigma(rolling, least), 0.1, bars_a_day), "daily": vol_target(sigma(day, min(least, bars_a_day)), 0.1, bars_a_day)}
+    rows = rows.withColumns({f"_{n}": p if n == "hold" else F.when(sigma(all_before, least).isNotNull(), p) for n, p in positions.items()})
+    rows = rows.withColumns({f"_{n}": F.lag(f"_{n}", delay).over(run) for n in positions})
+    moved = lambda n: F.abs(F.col(f"_{n}") - F.coalesce(F.lag(f"_{n}").over(run), F.lit(0.0)))
+    rows = rows.withColumns({f"r_{n}": F.col(f"_{n}") * F.col("r") - cost_bps / 1e4 * moved(n) for n in positions})
+    long = rows.select("ticker", "ts", F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"r_{n}").alias("r")) for n in positions])).alias("x"))
+    return long.select("ticker", "ts", "x.strategy", "x.r").where("r is not null")
+
+
+def factor_statistics(rows: DataFrame, factor: str, forward: str, cost_bps: float = 1.0, bars_a_year: float = 252 * 24) -> DataFrame:
+    """(ticker, n, ic, direction, gross, net, turnover): correlation of the factor with the return
+    ahead, the sign that makes the gross Sharpe ratio positive, and both ratios in that direction."""
+    run = W.partitionBy("ticker").orderBy("ts")
+    rows = rows.where(F.col(factor).isNotNull() & F.col(forward).isNotNull()).withColumn("_g", F.col(factor) * F.col(forward)).withColumn("_d", F.abs(F.col(factor) - F.lag(factor, 1, 0.0).over(run)))
+    cost = cost_bps / 1e4 * F.col("_d")
+    root = bars_a_year**0.5
+    agg = rows.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.corr(factor, forward).alias("ic"), F.try_divide(F.avg("_g"), F.stddev_samp("_g")).alias("_q"), F.avg("_d").alias("turnover"),
+        F.try_divide(F.avg(F.col("_g") - cost), F.stddev_samp(F.col("_g") - cost)).alias("_up"), F.try_divide(F.avg(-F.col("_g") - cost), F.stddev_samp(-F.col("_g") - cost)).alias("_down"),
+    )
+    up = F.col("_q") >= 0
+    return agg.select("ticker", "n", "ic", F.when(up, 1).otherwise(-1).alias("direction"), (F.abs("_q") * root).alias("gross"), (F.when(up, F.col("_up")).otherwise(F.col("_down")) * root).alias("net"), "turnover")

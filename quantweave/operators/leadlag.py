@@ -136,7 +136,7 @@ def strategy(panel: DataFrame, market: DataFrame, method: str = "c1", lookback:
         scores = levy_end_point(rows).withColumn("relation", F.lit(1.0))
     else:
         scores = lag_scores(lagged_correlations(rows, lags), method)
-    scores = scores.persist()  # selection, signs and weights all read it
+    scores = scores.persist()  # selection, signs and weights all read it; without this the pairs are correlated several times
     picked = pick(scores, leaders, followers)
     signs = relation_signs(scores, picked)
     now = picked.where("side = 'leader'").join(panel.select(F.col("t_idx").alias("win"), "asset", "r"), ["win", "asset"], "left").groupBy("win").agg(F.avg("r").alias("m"))
@@ -151,3 +151,19 @@ def strategy(panel: DataFrame, market: DataFrame, method: str = "c1", lookback:
     moved = moved.groupBy("win").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)))).alias("turnover"))
     out = pnl.join(moved.select((F.col("win") + 1 + trade_lag).alias("t_idx"), "turnover"), "t_idx", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
     return out.select("t_idx", (F.col("gross") - cost_bps * 1e-4 * F.col("turnover")).alias("r"), "turnover")
+
+
+def characteristic_ranks(panel: DataFrame, value: str, share: float = 0.2) -> DataFrame:
+    """(t_idx, asset, side): by date the assets with the greatest and the least of a
+    characteristic, floor of the share of those that have it, one at least."""
+    at = W.partitionBy("t_idx")
+    rows = panel.where(F.col(value).isNotNull()).withColumns({"_hi": F.row_number().over(at.orderBy(F.desc(value), "asset")), "_lo": F.row_number().over(at.orderBy(value, "asset")), "_n": F.count("*").over(at)})
+    many = F.greatest(F.floor(F.col("_n") * share), F.lit(1))
+    side = F.when(F.col("_hi") <= many, "high").when(F.col("_lo") <= many, "low")
+    return rows.withColumn("side", side).where("side is not null").select("t_idx", "asset", "side")
+
+
+def betas(panel: DataFrame, market: DataFrame, least: int = 12) -> DataFrame:
+    """(asset, beta, correlation, n) of returns against the market's (t_idx, r)."""
+    both = panel.where("r is not null").join(F.broadcast(market.where("r is not null").select("t_idx", F.col("r").alias("m"))), "t_idx")
+    return both.groupBy("asset").agg(F.regr_slope("r", "m").alias("beta"), F.corr("r", "m").alias("correlation"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -72,8 +72,9 @@ def newey_west(series: DataFrame, value: str, lags: int = 6, order: str = "t", k
 
 
 def fama_macbeth(panel: DataFrame, y: str, x: list[str], lags: int = 6) -> DataFrame:
-    """(term, mean, se, t_stat, T): period regressions of y on one or two regressors and an
-    intercept, averaged over the periods with max(5, k + 2) rows or more."""
+    """(term, mean, se, t_stat, T): period regressions of y on the regressors and an intercept,
+    averaged over the periods with max(5, k + 2) rows or more. One and two regressors have
+    closed forms; for more the periods' Gram sums are solved."""
     k = len(x)
     rows = panel.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [y, *x]]))
     each = rows.groupBy("t")
@@ -89,7 +90,10 @@ def fama_macbeth(panel: DataFrame, y: str, x: list[str], lags: int = 6) -> DataF
         cov = cov.withColumns({a: F.try_divide(F.col("say") * F.col("sbb") - F.col("sby") * F.col("sab"), det), b: F.try_divide(F.col("sby") * F.col("saa") - F.col("say") * F.col("sab"), det)})
         coef = cov.withColumn("const", F.col("my") - F.col(a) * F.col("ma") - F.col(b) * F.col("mb"))
     else:
-        raise ValueError("one or two regressors; for more see solvers.period_ols")
+        from .walkforward import ridge
+
+        enough = rows.withColumn("_n", F.count("*").over(W.partitionBy("t"))).where(F.col("_n") >= max(5, k + 2))
+        return newey_west(ridge(enough, y, x, penalty=0.0, keys=("t",)), "coef", lags, keys=("term",))
     long = coef.where(F.col("n") >= max(5, k + 2)).unpivot(["t"], ["const", *x], "term", "coef")
     return newey_west(long, "coef", lags, keys=("term",))
 

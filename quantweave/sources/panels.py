@@ -78,3 +78,26 @@ def bars(ticks: DataFrame, seconds: int, ticker: str = "event_type", ts: str = "
     return ticks.groupBy(F.col(ticker).alias("ticker"), start.cast("timestamp_ntz").alias("ts_bar")).agg(
         F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.count("*").cast("double").alias("volume")
     )
+
+
+def long_history(panel: DataFrame, least: int, forward: int = 5, value: str = "price") -> DataFrame:
+    """Gaps filled forward by `forward` periods at most; assets with `least` values, periods in which any of these has one."""
+    own = W.partitionBy("asset").orderBy("t_idx")
+    rows = panel.withColumn(value, F.last(value, ignorenulls=True).over(own.rowsBetween(-forward, 0)))
+    rows = rows.withColumn("_n", F.count(value).over(W.partitionBy("asset"))).where(F.col("_n") >= least)
+    return rows.withColumn("_t", F.count(value).over(W.partitionBy("t_idx"))).where("_t > 0").drop("_n", "_t")
+
+
+def complete_dates(panel: DataFrame, missing: float = 0.05, value: str = "price") -> DataFrame:
+    """Assets with at most that share missing, filled forward without limit; periods in which all of them have a value."""
+    own = W.partitionBy("asset")
+    rows = panel.withColumns({"_m": F.avg(F.col(value).isNull().cast("double")).over(own)}).where(F.col("_m") <= missing)
+    rows = rows.withColumn(value, F.last(value, ignorenulls=True).over(own.orderBy("t_idx").rowsBetween(W.unboundedPreceding, 0)))
+    at = W.partitionBy("t_idx")
+    return rows.withColumns({"_n": F.count(value).over(at), "_a": F.count("*").over(at)}).where("_n = _a").drop("_m", "_n", "_a")
+
+
+def complete_assets(panel: DataFrame, first: int, last: int, value: str = "r") -> DataFrame:
+    """The rows of t_idx `first` to `last` of assets that have a value in every one of these periods."""
+    span = panel.where(F.col("t_idx").between(first, last))
+    return span.withColumn("_n", F.count(value).over(W.partitionBy("asset"))).where(F.col("_n") == last - first + 1).drop("_n")
