@@ -1,11 +1,13 @@
 """Shards by a weighted hash tree: region, then rack, then shard.
 
-Every shard draws -ln(u) / weight for a row, with u from a hash of the row's
-key and the shard's name: an exponential variable whose rate is the weight. A
-rack's or region's draw is the least in its subtree, which is exponential with
-the subtree's total weight, so at each level a child wins with the share that
-its weight has. A changed weight changes draws of that shard alone: rows move
-only into a grown shard or out of a shrunk one, within the subtrees above it.
+At each level every child of the node that a row has come to draws -ln(u) / weight,
+with u from a hash of the row's key and the child's name, and the least draw wins:
+a child's share is that of its weight, the total of the shards below it. A changed
+weight changes the draws of that shard, its rack and its region alone. So rows
+cross regions only into or out of a region whose total has changed, racks of a
+region that they stay in only into or out of a changed rack, and so on: weight
+that is shifted within a rack moves rows between the shards that it concerns and
+nowhere else. A row pays for the draws on its way down, not for those of all shards.
 """
 
 from dataclasses import dataclass
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Shards of the full tree, and rows that a part of a shard should hold when slots are counted.
+BASE, PART = 24, 1 << 18
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -23,13 +28,12 @@ class Leaf:
     weight: float = 1.0
 
 
-def layout(shards: int, regions: int = 4, racks: int = 3) -> list[Leaf]:
-    """Equal weights; shard s lies in region s mod regions and a rack by its turn there."""
-    return [Leaf(s % regions, s // regions % racks, s) for s in range(shards)]
-
-
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def layout(shards: int, base: int = BASE, regions: int = 4, racks: int = 3) -> list[Leaf]:
+    """Equal weights. The first `base` shards fill regions and racks by turns; each one more
+    opens a region of its own, as does every shard of a tree smaller than that: so one
+    more shard takes rows only into itself."""
+    full = base if shards >= base else 0
+    return [Leaf(s % regions, s // regions % racks, s) if s < full else Leaf(regions + s, 0, s) for s in range(shards)]
 
 
 def place(key: Column, tree: list[Leaf]) -> Column:
@@ -38,32 +42,47 @@ def place(key: Column, tree: list[Leaf]) -> Column:
         raise ValueError("shards need distinct names and weights above 0")
     own = F.xxhash64(key.cast("string"))
 
-    def draw(x: Leaf) -> Column:
-        # 52 bits, and a half so that neither 0 nor 1 comes out
-        u = (F.shiftrightunsigned(F.xxhash64(own, F.lit(x.shard)), 12).cast("double") + 0.5) / F.lit(float(2**52))
-        return F.struct((-F.log(u) / F.lit(x.weight)).alias("draw"), F.lit(x.shard).alias("shard"))
-
-    def least(nodes: list[Column]) -> Column:
-        return _least(nodes)
-
-    regions: dict[int, dict[int, list[Column]]] = {}
-    for x in tree:
-        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(draw(x))
-    return least([least([least(leaves) for leaves in racks.values()]) for racks in regions.values()])["shard"]
-
-
-def shard(docs: DataFrame, shards: int = 24, chunks: int = 64) -> DataFrame:
+    def descend(leaves: list[Leaf], names: tuple, levels: list[str]) -> Column:
+        level, *below = levels
+        children: dict[int, list[Leaf]] = {}
+        for x in leaves:
+            children.setdefault(getattr(x, level), []).append(x)
+
+        def draw(name: int, some: list[Leaf]) -> Column:
+            # 52 bits, and a half so that neither 0 nor 1 comes out
+            u = (F.shiftrightunsigned(F.xxhash64(own, *[F.lit(n) for n in (level, *names, name)]), 12).cast("double") + 0.5) / F.lit(float(2**52))
+            return F.struct((-F.log(u) / F.lit(sum(x.weight for x in some))).alias("draw"), F.lit(name).alias("name"))
+
+        drawn = [draw(n, some) for n, some in children.items()]
+        won = (drawn[0] if len(drawn) == 1 else F.least(*drawn))["name"]
+        if not below or len(leaves) == 1:
+            return F.lit(leaves[0].shard) if len(leaves) == 1 else won
+        if len(children) == 1:
+            name, some = next(iter(children.items()))
+            return descend(some, (*names, name), below)
+        # only the branch that won is drawn further; one comparison a child
+        out, picked = None, won
+        for name, some in children.items():
+            sub = descend(some, (*names, name), below)
+            out = F.when(picked == name, sub) if out is None else out.when(picked == name, sub)
+        return out
+
+    return descend(tree, (), ["region", "rack", "shard"])
+
+
+def shard(docs: DataFrame, shards: int = 24, part: int = PART) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     `size`: UTF-8 bytes of the text plus 8; a null text has none and the crc32
     of no bytes. The law is `key`: doc_id (null: a key of its own) and the
     number of shards decide. Slots count a shard's rows from 0 without gaps:
-    rows are dealt into `chunks` parts of each shard by a hash, numbered there
-    by (doc_id, crc32, size), and moved by the counts of the parts before, so
-    no task holds a shard. Rows equal in all three are interchangeable. Other
+    rows are dealt by a hash into parts of each shard of about `part` rows,
+    numbered there by (doc_id, crc32, size), and moved by the counts of the parts
+    before, so no task holds a shard. Rows equal in all three are interchangeable. Other
     columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    chunks = max(1, docs.count() // (shards * part) + 1)
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
@@ -72,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 24, chunks: int = 64) -> DataFrame:
         place(F.col("doc_id"), layout(shards + 1)).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit("chunk"), F.col("doc_id"), text), F.lit(chunks)).cast("int").alias("chunk"),
     )
-    # `chunks` x `shards` rows, whatever the input: the window over them is small
+    # a row a part: the window over them is small
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("shard", "chunk", (F.sum("n").over(W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
     numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")) - 1)

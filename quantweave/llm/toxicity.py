@@ -4,8 +4,9 @@ A word is read as a chain of ever longer prefixes: its first 3, 4, 5, 7 bytes
 and itself. Both classes, toxic and ordinary, give each step of the chain the
 absolutely discounted frequency of the longer after the shorter prefix, and
 spread what the discount takes off by backoff counts that the classes share:
-so inflected or new forms of an expression are judged by their stems, and what
-was seen once tells little. A text is judged by its log-likelihood ratio over
+so inflected or new forms of an expression are judged by their stems. What both
+classes together saw once is discounted whole: it counts as a form never seen.
+Prefixes that one class lacks tell nothing beyond the step that led to them. A text is judged by its log-likelihood ratio over
 its length, by the mean of its most telling words and by what clearly toxic
 words exceed a margin, over the square root of the length: so a few toxic lines
 in a long text show. A logistic curve fitted on labelled rows kept out of the
@@ -24,8 +25,6 @@ from .words import Words, mix, slices
 
 #: Labelled rows that a model is fitted on, at most: those of the least hashes.
 SAMPLE = 20_000
-#: Prefixes and steps of the sample that the model keeps, the commonest first.
-CONTEXTS, STEPS = 1 << 16, 1 << 18
 #: Bytes of the prefixes of a word's chain.
 CHAIN = (3, 4, 5, 7)
 DISCOUNT = 0.75
@@ -139,12 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = _count(rows.where(side != 0))
     after = counts.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.expr("n0 > 0")).alias("k0"), F.count_if(F.expr("n1 > 0")).alias("k1"))
 
-    def kept(df: DataFrame, by: list[str], values: list[str], most: int) -> _Table:
-        got = df.orderBy(F.desc(F.col("n0") + F.col("n1")), *by).limit(most).select(*by, *values).toArrow()
+    def kept(df: DataFrame, by: list[str], values: list[str]) -> _Table:
+        # the sample of labelled rows bounds them; no other cut
+        got = df.select(*by, *values).toArrow()
         cols = [got.column(c).to_numpy().view(np.uint64) for c in by]
         return _Table(cols[0] if len(cols) == 1 else _pair(*cols), np.column_stack([got.column(c).to_numpy().astype(float) for c in values]))
 
-    model = Model(kept(after, ["u"], ["n0", "n1", "k0", "k1"], CONTEXTS), kept(counts.where("n0 + n1 > 1"), ["u", "w"], ["n0", "n1"], STEPS), np.zeros(4))
+    model = Model(kept(after.where("n0 > 0 and n1 > 0"), ["u"], ["n0", "n1", "k0", "k1"]), kept(counts.where("n0 + n1 > 1"), ["u", "w"], ["n0", "n1"]), np.zeros(4))
     # the curve's rows: a fifth of `sample` at most, three numbers each
     shown = features(rows.where(side == 0), model, ["toxic"]).toArrow()
     x = np.column_stack([shown.column(c).to_numpy() for c in ("whole", "top", "excess")]).reshape(-1, 3)

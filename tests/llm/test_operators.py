@@ -98,6 +98,46 @@ def test_a_weight_moves_rows_only_into_its_shard(spark):
     assert all(r.b in (r.a, 5) for r in both) and any(r.a != 5 == r.b for r in both)
 
 
+def test_movement_is_confined_to_changed_subtrees(spark):
+    keys = spark.range(30000)
+    old = sharding.layout(24)
+    place = {x.shard: (x.region, x.rack) for x in old}
+
+    def moves(**weights):
+        new = [sharding.Leaf(x.region, x.rack, x.shard, weights.get(f"s{x.shard}", x.weight)) for x in old]
+        both = keys.select(sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).where("a <> b").collect()
+        return [(r.a, r.b) for r in both]
+
+    same_rack = [s for s in place if place[s] == place[0]]
+    shifted = moves(**{f"s{same_rack[0]}": 0.5, f"s{same_rack[1]}": 1.5})
+    assert shifted and all({a, b} <= set(same_rack) for a, b in shifted)
+    same_region = next(s for s in place if place[s][0] == place[0][0] and place[s][1] != place[0][1])
+    racks = moves(s0=0.5, **{f"s{same_region}": 1.5})
+    assert racks and all(place[a][0] == place[b][0] == place[0][0] for a, b in racks)
+    grown = moves(s0=3.0)
+    # across regions only into the one that grew, within it only into the rack that grew
+    assert all(place[b][0] == place[0][0] for a, b in grown)
+    assert all(place[b] == place[0] for a, b in grown if place[a][0] == place[b][0])
+    assert all(b == 0 for a, b in grown if place[a] == place[b])
+
+
+def test_shares_are_those_of_the_weights(spark):
+    tree = [sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 0, 1, 2.0), sharding.Leaf(0, 1, 2, 3.0), sharding.Leaf(1, 0, 3, 6.0)]
+    counts = {r.s: r["count"] for r in spark.range(24000).select(sharding.place(F.col("id"), tree).alias("s")).groupBy("s").count().collect()}
+    for x in tree:
+        assert counts[x.shard] == pytest.approx(2000 * x.weight, rel=0.08)
+
+
+def test_the_tree_decides_and_growth_only_adds(spark):
+    keys = spark.range(5000)
+    flat = [sharding.Leaf(s, 0, s) for s in range(24)]
+    both = keys.select(sharding.place(F.col("id"), flat).alias("a"), sharding.place(F.col("id"), sharding.layout(24)).alias("b")).collect()
+    assert sum(r.a != r.b for r in both) > 2500
+    for n in (5, 24, 26):
+        grown = keys.select(sharding.place(F.col("id"), sharding.layout(n)).alias("a"), sharding.place(F.col("id"), sharding.layout(n + 1)).alias("b")).collect()
+        assert all(r.b in (r.a, n) for r in grown) and any(r.b == n for r in grown)
+
+
 # --- joins -----------------------------------------------------------------------------------
 
 
