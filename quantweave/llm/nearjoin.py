@@ -291,6 +291,11 @@ def _deal(members: DataFrame, least: Fraction, block: int) -> DataFrame:
     return small.union(dealt)
 
 
+#: Rows of one key from which they are not shuffled together, and the most keys that can have
+#: so many: with more rows than HOT * HOTS the bound on rows grows instead.
+HOT, HOTS = 1 << 10, 1 << 20
+
+
 def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85, 100), block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -341,6 +346,19 @@ def link_components(docs: DataFrame, k: int = 4, least: Fraction = Fraction(85,
     pairs = check.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     final = saved(components(saved(found.union(pairs.mapInArrow(verify, "a long, b long")))))
     # a class: the label of linked nodes, else the node itself, else the document
-    classed = nodes.drop("bits").join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    first = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    return classed.join(first, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    many = max(HOT, made.count() // HOTS)
+    texts = saved(nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(final, "node", "left"))
+    first = saved(texts.where("label is not null").groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("nodes")))
+    linked = _joined(texts.where("label is not null"), first, "label", F.col("nodes") > many).select("node", "copies", "first")
+    alone = texts.where("label is null").select("node", "copies", F.col("least").alias("first"))
+    known = saved(linked.union(alone))
+    out = _joined(nodes.select("doc_id", "n", "node"), known, "node", F.col("copies") > many)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def _joined(rows: DataFrame, values: DataFrame, key: str, crowded) -> DataFrame:
+    """`rows` left-joined with `values` (one row a key): crowded keys, HOTS at most, by
+    broadcast, so that no task holds all rows of one, all others by a shuffle."""
+    hot = values.where(crowded)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(~crowded), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(few)

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Shards of the full tree, and rows that a part of a shard should hold when slots are counted.
-BASE, PART = 24, 1 << 18
+#: Shards and regions of the full tree, and rows that a part of a shard should hold when slots are counted.
+BASE, REGIONS, PART = 24, 4, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Leaf:
     weight: float = 1.0
 
 
-def layout(shards: int, base: int = BASE, regions: int = 4, racks: int = 3) -> list[Leaf]:
+def layout(shards: int, base: int = BASE, regions: int = REGIONS, racks: int = 3) -> list[Leaf]:
     """Equal weights. The first `base` shards fill regions and racks by turns; each one more
     opens a region of its own, as does every shard of a tree smaller than that: so one
     more shard takes rows only into itself."""
@@ -36,6 +36,12 @@ def layout(shards: int, base: int = BASE, regions: int = 4, racks: int = 3) -> l
     return [Leaf(s % regions, s // regions % racks, s) if s < full else Leaf(regions + s, 0, s) for s in range(shards)]
 
 
+def grown(tree: list[Leaf]) -> list[Leaf]:
+    """The tree with one more shard of weight 1 as a region of its own."""
+    name = max((x.shard for x in tree), default=-1) + 1
+    return [*tree, Leaf(max(x.region for x in [Leaf(REGIONS + name - 1, 0, 0), *tree]) + 1, 0, name)]
+
+
 def place(key: Column, tree: list[Leaf]) -> Column:
     """The shard of a row with this key (null has a place, too)."""
     if len({x.shard for x in tree}) < len(tree) or not all(x.weight > 0 for x in tree):
@@ -88,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 24, part: int = PART) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         place(F.col("doc_id"), layout(shards)).alias("shard"),
-        place(F.col("doc_id"), layout(shards + 1)).alias("grown_shard"),
+        place(F.col("doc_id"), grown(layout(shards))).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit("chunk"), F.col("doc_id"), text), F.lit(chunks)).cast("int").alias("chunk"),
     )
     # a row a part: the window over them is small

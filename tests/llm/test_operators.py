@@ -133,8 +133,9 @@ def test_the_tree_decides_and_growth_only_adds(spark):
     flat = [sharding.Leaf(s, 0, s) for s in range(24)]
     both = keys.select(sharding.place(F.col("id"), flat).alias("a"), sharding.place(F.col("id"), sharding.layout(24)).alias("b")).collect()
     assert sum(r.a != r.b for r in both) > 2500
-    for n in (5, 24, 26):
-        grown = keys.select(sharding.place(F.col("id"), sharding.layout(n)).alias("a"), sharding.place(F.col("id"), sharding.layout(n + 1)).alias("b")).collect()
+    assert sharding.grown(sharding.layout(24)) == sharding.layout(25) and sharding.grown(sharding.layout(25)) == sharding.layout(26)
+    for n in (5, 23, 24):
+        grown = keys.select(sharding.place(F.col("id"), sharding.layout(n)).alias("a"), sharding.place(F.col("id"), sharding.grown(sharding.layout(n))).alias("b")).collect()
         assert all(r.b in (r.a, n) for r in grown) and any(r.b == n for r in grown)
 
 
@@ -187,6 +188,16 @@ def test_link_components_is_brute_force(spark, seed, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 4, least)
 
 
+def test_crowded_classes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "HOT", 5)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 60, 5)]
+    texts = [(i, t) for i, t in enumerate(["same text of some words"] * 20 + near + [" ".join(base)] + ["other words here now", None, ""])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(nearjoin.link_components(df))}
+    assert got == brute_components(texts, 4, Fraction(85, 100))
+
+
 def test_link_components_of_odd_rows(odd_docs, no_docs):
     got = rows(nearjoin.link_components(odd_docs))
     assert len(got) == odd_docs.count()
