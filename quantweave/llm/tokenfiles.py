@@ -35,6 +35,8 @@ from .words import mix
 BUCKET = 1 << 16
 _GAMMA, _LEVELS = 1.5, 40
 _U = np.uint64
+#: Bytes of payload of an output batch; one longer document goes alone.
+PAYLOAD = 1 << 23
 ENTRY = "doc_id long, shard int, at long, n long"
 
 
@@ -233,14 +235,24 @@ def read(places: DataFrame, uri: str) -> DataFrame:
         store, root = _store(uri)
         opened, file = None, None
         for batch in batches:
-            blobs = []
-            for shard, at, n in zip(batch.column("shard").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            blobs, first, size = [], 0, 0
+
+            def done(to):
+                some = batch.slice(first, to - first)
+                return pa.RecordBatch.from_arrays([*some.columns, pa.array(blobs, pa.binary()), pa.array([width] * len(blobs), pa.int32())], names=[*batch.schema.names, "ids", "width"])
+
+            for i, (shard, at, n) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True)):
                 if shard != opened:
                     if file:
                         file.close()
                     opened, file = shard, store.open_input_file(f"{root}/ids-{shard:05d}.bin")
                 blobs.append(file.read_at(n * width, at * width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blobs, pa.binary()), pa.array([width] * len(blobs), pa.int32())], names=[*batch.schema.names, "ids", "width"])
+                size += n * width
+                if size >= PAYLOAD:
+                    yield done(i + 1)
+                    blobs, first, size = [], i + 1, 0
+            if blobs:
+                yield done(len(batch))
         if file:
             file.close()
 
