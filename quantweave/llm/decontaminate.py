@@ -31,6 +31,8 @@ WIDTH = BITS // BLOCKS
 #: bits on average, and in more than 31 once in three hundred times.
 RADIUS = 31
 FLAGS = 1 << 25
+#: Words of a text whose windows are hashed at a time, and bytes of windows that are held.
+STRETCH, FLUSH = 1 << 13, 1 << 22
 _U = np.uint64
 _NEIGHBOURS = np.array([sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), r)], np.uint16)
 
@@ -145,7 +147,7 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, least: Fraction) -> Data
                     hit = _set(some, value)
                     count = np.concatenate([[0], np.cumsum(hit)])
                     per = count[bounds[1:]] - count[bounds[:-1]]
-                    out = []
+                    out, held_bytes = [], 0
                     for i in np.flatnonzero(per) if its else []:
                         if n[i] < length:
                             continue
@@ -153,17 +155,26 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, least: Fraction) -> Data
                         for starts, size, width in row_windows(v, h, n[i], length, its, exact):
                             if len(h) < ceil(least * width):
                                 continue
-                            lo = int(starts[0])
-                            prints = _prints(v[lo : int(starts[-1]) + width], starts - lo, width)
-                            for s, p in zip(starts.tolist(), prints, strict=True):
-                                grams = v[s : s + width]
-                                out.append((i, s, size, int(mix(np.sort(grams).cumsum(dtype=np.uint64)[-1:] ^ _U(size)).view(np.int64)[0]), p.tobytes(), grams.tobytes()))
+                            # stretch by stretch, however long the text
+                            for some_starts in np.split(starts, np.flatnonzero(np.diff(starts // STRETCH)) + 1):
+                                lo = int(some_starts[0])
+                                prints = _prints(v[lo : int(some_starts[-1]) + width], some_starts - lo, width)
+                                for s, p in zip(some_starts.tolist(), prints, strict=True):
+                                    grams = v[s : s + width]
+                                    out.append((i, s, size, int(mix(np.sort(grams).cumsum(dtype=np.uint64)[-1:] ^ _U(size)).view(np.int64)[0]), p.tobytes(), grams.tobytes()))
+                                    held_bytes += 8 * width
+                                    if held_bytes > FLUSH:
+                                        yield rows_of(part, out)
+                                        out, held_bytes = [], 0
                     if out:
-                        row, start, size, content, prints, grams = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(content, pa.int64()), pa.array(prints, pa.binary()), pa.array(grams, pa.binary())],
-                            names=["doc_id", "start", "size", "content", "print", "grams"],
-                        )
+                        yield rows_of(part, out)
+
+    def rows_of(part, out):
+        row, start, size, content, prints, grams = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(content, pa.int64()), pa.array(prints, pa.binary()), pa.array(grams, pa.binary())],
+            names=["doc_id", "start", "size", "content", "print", "grams"],
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     return saved(rows.mapInArrow(task, "doc_id long, start long, size int, content long, print binary, grams binary"))

@@ -258,6 +258,37 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.matches(table, bench.limit(0)).count() == 0
 
 
+def test_near_copies_of_items_are_found(spark, monkeypatch):
+    """Items with random words changed, down to a weighted similarity of 0.8, at random places of texts."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 11)
+    rng = np.random.default_rng(31)
+    vocab = [f"v{i}" for i in range(4000)]
+    items = [list(rng.choice(vocab, int(n))) for n in rng.integers(25, 80, 60)]
+
+    def bag(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    docs, planted = [], []
+    for d in range(300):
+        k = int(rng.integers(0, 60))
+        changed = list(items[k])
+        for at in rng.integers(0, len(changed), int(rng.integers(0, 3))):
+            changed[int(at)] = "new" + str(d)
+        a, b = bag(items[k]), bag(changed)
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            planted.append((d, k))
+        docs.append((d, " ".join([*rng.choice(vocab, int(rng.integers(0, 90))), *changed, *rng.choice(vocab, int(rng.integers(0, 90)))])))
+    found = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")))}
+    assert len(planted) > 150
+    assert len(found & set(planted)) >= 0.99 * len(planted)
+    # whatever else is found holds a window that is similar, not just any text
+    texts = dict(docs)
+    for d, k in found - set(planted):
+        w, n = texts[d].split(), len(items[k])
+        a = bag(items[k])
+        assert max(sum((a & (b := bag(w[i : i + n]))).values()) / sum((a | b).values()) for i in range(len(w) - n + 1)) >= 0.8
+
+
 # --- search ---------------------------------------------------------------------------------------
 
 
