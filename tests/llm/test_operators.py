@@ -524,15 +524,42 @@ def test_language_model_counts_and_normalisation(labelled, odd_docs, no_docs):
     assert len(rows(maxent.score(odd_docs, F.lit(False)))) == odd_docs.count()
 
 
-def test_class_probabilities_sum_to_one(labelled):
+def test_probabilities_sum_to_one(labelled):
+    """Over all classes by the trained softmax, and over the words of each class and its symbol for the rest."""
     docs, _ = labelled
-    counts = maxent.summary(maxent.count(docs))
-    kept = counts.n[~np.isin(counts.words, counts.head)]
-    assert kept.sum() == counts.class_n.sum()
-    for c in range(maxent.HEAD, maxent.END):
-        if counts.class_n[c]:
-            known = counts.class_n[c] - maxent.DISCOUNT * counts.class_v[c]
-            assert known + maxent.DISCOUNT * counts.class_v[c] == pytest.approx(counts.class_n[c])
+    stored = maxent.count(docs)
+    counts = maxent.summary(stored)
+    keyed = docs.where("doc_id < 80").select(F.xxhash64("doc_id").alias("key"), "text")
+    weights, bias = maxent.train(keyed, counts, 1)
+    assert np.abs(weights).max() > 0
+    tokens = maxent.Tokens(maxent.Words(pa.array([r.text for r in docs.where("doc_id < 5").collect()])), counts.head)
+    total = np.zeros(len(tokens.cls))
+    for c in range(maxent.CLASSES):
+        tokens.cls = np.full(len(total), c)
+        total += 10 ** maxent._class_scores(weights, bias, tokens)
+    assert total == pytest.approx(np.ones(len(total)), abs=1e-4)
+    tail = stored.where("kind = 0").where(~F.col("word").isin(counts.head.view(np.int64).tolist()))
+    for r in tail.groupBy("tail_class").agg(F.sum(F.col("n") - maxent.DISCOUNT).alias("met")).collect():
+        c = r.tail_class
+        assert (r.met + maxent.DISCOUNT * counts.class_v[c]) / counts.class_n[c] == pytest.approx(1)
+
+
+def test_history_beats_the_base_on_held_out_texts(spark):
+    """Texts whose next word mostly follows from the one before."""
+    rng = np.random.default_rng(12)
+    names = [a + b for a in "ka lo mi ra te su".split() for b in "ba do fi gu la".split()]
+    after = rng.permutation(len(names))
+    docs = []
+    for d in range(420):
+        at, words = int(rng.integers(0, len(names))), []
+        for _ in range(60):
+            words.append(names[at])
+            at = int(after[at]) if rng.random() < 0.8 else int(rng.integers(0, len(names)))
+        docs.append((d, " ".join(words)))
+    got = rows(maxent.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 7 != 0))
+    held = [r for r in got if r["doc_id"] % 7 == 0]
+    tokens = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] - r["base_score"] for r in held) / tokens > 0.2
 
 
 def test_language_identification(spark, odd_docs, no_docs):
