@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quantweave.sources.stored import stored
+
 
 def windows(panel: DataFrame, ends: DataFrame, lookback: int, value: str = "r", least: int = 1) -> DataFrame:
     """The `lookback` periods up to each t_idx of `ends` (one row a rebalance date); assets with `least` values."""
@@ -127,7 +129,9 @@ def strategy(panel: DataFrame, market: DataFrame, method: str = "c1", lookback:
 
     `panel`: t_idx, asset, r; `market`: t_idx, r. method: c1, c2 or levy. The
     signal is the sign of the leaders' mean return on the rebalance date, a
-    missing one counts as negative."""
+    missing one counts as negative. Scores, picks and weights are written to the
+    shared folder, as later steps read them several times; so they do `panel`,
+    best handed in as a stored table."""
     last = panel.agg(F.max("t_idx")).first()[0] - 1 - trade_lag  # one number
     days = panel.select("t_idx").distinct().where((F.col("t_idx") >= lookback - 1) & (F.col("t_idx") <= last))
     ends = days.where((F.col("t_idx") - (lookback - 1)) % every == 0)
@@ -136,12 +140,12 @@ def strategy(panel: DataFrame, market: DataFrame, method: str = "c1", lookback:
         scores = levy_end_point(rows).withColumn("relation", F.lit(1.0))
     else:
         scores = lag_scores(lagged_correlations(rows, lags), method)
-    scores = scores.persist()  # selection, signs and weights all read it; without this the pairs are correlated several times
-    picked = pick(scores, leaders, followers)
+    scores = stored(scores)  # selection, signs and weights all read it
+    picked = stored(pick(scores, leaders, followers))
     signs = relation_signs(scores, picked)
     now = picked.where("side = 'leader'").join(panel.select(F.col("t_idx").alias("win"), "asset", "r"), ["win", "asset"], "left").groupBy("win").agg(F.avg("r").alias("m"))
     signal = now.select("win", F.col("win").alias("t_idx"), F.when(F.col("m") >= 0, 1.0).otherwise(-1.0).alias("signal"))
-    formed = hedged_weights(picked, signs, signal).select("win", "asset", "w").persist()
+    formed = stored(hedged_weights(picked, signs, signal).select("win", "asset", "w"))
     held = days.select("t_idx", (F.floor((F.col("t_idx") - (lookback - 1)) / every) * every + lookback - 1).cast("long").alias("win")).join(formed, "win")
     every_asset = panel.select("t_idx", "asset", "r").union(market.select("t_idx", F.lit("market"), "r"))
     pnl = held.withColumn("t_idx", F.col("t_idx") + 1 + trade_lag).join(every_asset, ["t_idx", "asset"], "left").groupBy("t_idx").agg(F.sum(F.col("w") * F.coalesce("r", F.lit(0.0))).alias("gross"))

@@ -7,6 +7,7 @@ from quantweave.functions import series as S
 from quantweave.operators import graphs, labels, leadlag
 from quantweave.operators import recursive as R
 from quantweave.sources import panels
+from quantweave.sources.stored import stored
 
 from .registry import query
 from .series import r6, rounded, unsigned_zeros
@@ -85,13 +86,45 @@ def cross_correlation_lag(spark, sf):
     return leadlag.cross_correlation_lag(_window(spark, sf)).select("i", "j", F.col("lag").cast("long").alias("lag"))
 
 
-@query("leadlag_strategy")
+_STRATEGY = """WITH days AS (SELECT DISTINCT t_idx FROM mret WHERE t_idx >= 23 AND t_idx <= (SELECT max(t_idx) FROM mret) - 2),
+    ends AS (SELECT t_idx AS win FROM days WHERE (t_idx - 23) % 6 = 0),
+    wr AS (SELECT win, t_idx, asset, r AS v FROM ends JOIN mret ON t_idx BETWEEN win - 23 AND win),
+    z AS (SELECT win, t_idx, asset, (v - avg(v) OVER o) / nullif(stddev_pop(v) OVER o, 0) AS v FROM wr WINDOW o AS (PARTITION BY win, asset) QUALIFY count(v) OVER o >= 12),
+    lagged AS (SELECT win, asset, t_idx, lag, lag(v, lag) OVER (PARTITION BY win, asset, lag ORDER BY t_idx) AS y FROM z CROSS JOIN (SELECT unnest([1, 2]) AS lag)),
+    cor AS (SELECT a.win, a.asset AS i, b.asset AS j, b.lag, corr(a.v, y) AS c FROM z a JOIN lagged b ON a.win = b.win AND a.t_idx = b.t_idx AND a.asset <> b.asset
+        WHERE a.v IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3 AND stddev_pop(a.v) > 0 AND stddev_pop(y) > 0),
+    one AS (SELECT 'c1' AS method, win, i, j, max(abs(c)) AS s, sign(arg_max(c, (abs(c), -lag))) AS relation FROM cor GROUP BY 2, 3, 4
+        UNION ALL SELECT 'c2', win, i, j, avg(abs(c)), sign(avg(c)) FROM cor GROUP BY 2, 3, 4),
+    strength AS (SELECT method, win, i, j, coalesce(a.s, 0) - coalesce(b.s, 0) AS score, coalesce(a.relation, 0) AS relation
+        FROM one a FULL JOIN (SELECT method, win, j AS i, i AS j, s FROM one) b USING (method, win, i, j)),
+    pp AS (SELECT a.win, a.t_idx, a.asset AS i, b.asset AS j, a.v AS x, b.v AS y FROM z a JOIN z b ON a.win = b.win AND a.t_idx = b.t_idx AND a.asset < b.asset WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+    pc AS (SELECT *, sum(x) OVER w AS cx, sum(y) OVER w AS cy FROM pp WINDOW w AS (PARTITION BY win, i, j ORDER BY t_idx)),
+    pd AS (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy FROM pc WINDOW w AS (PARTITION BY win, i, j ORDER BY t_idx)),
+    area AS (SELECT win, i, j, CASE WHEN count(*) >= 3 THEN -sum(coalesce(cx * dy - cy * dx, 0)) / 2 / count(*) ELSE 0 END AS score FROM pd GROUP BY 1, 2, 3),
+    scores AS (SELECT * FROM strength UNION ALL SELECT 'levy', win, i, j, score, 1 FROM area UNION ALL SELECT 'levy', win, j, i, -score, 1 FROM area),
+    means AS (SELECT method, win, j AS asset, sum(score) / (count(*) + 1) AS m FROM scores GROUP BY 1, 2, 3),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY method, win ORDER BY m DESC, asset) AS hi, row_number() OVER (PARTITION BY method, win ORDER BY m, asset DESC) AS lo,
+        greatest(floor(count(*) OVER (PARTITION BY method, win) * 0.2::DOUBLE), 1) AS k, count(*) OVER (PARTITION BY method, win) AS n FROM means),
+    leader AS (SELECT method, win, asset FROM ranked WHERE 2 * k <= n AND hi <= k),
+    follower AS (SELECT method, win, asset, count(*) OVER (PARTITION BY method, win) AS n FROM ranked WHERE 2 * k <= n AND hi > k AND lo <= k),
+    signs AS (SELECT f.method, f.win, f.asset, any_value(f.n) AS n, CASE WHEN avg(nullif(s.relation, 0)) < 0 THEN -1.0 ELSE 1.0 END AS sgn
+        FROM follower f LEFT JOIN (SELECT s.* FROM scores s JOIN leader l ON s.method = l.method AND s.win = l.win AND s.j = l.asset) s ON f.method = s.method AND f.win = s.win AND f.asset = s.i GROUP BY 1, 2, 3),
+    signal AS (SELECT method, win, CASE WHEN avg(r) >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS g FROM leader LEFT JOIN mret ON t_idx = win AND mret.asset = leader.asset GROUP BY 1, 2),
+    formed AS (SELECT method, win, asset, g * sgn / n AS w FROM signs JOIN signal USING (method, win) UNION ALL SELECT DISTINCT method, win, 'market', -g FROM signs JOIN signal USING (method, win)),
+    priced AS (SELECT t_idx, asset, r FROM mret UNION ALL SELECT t_idx, 'market', avg(r) FROM mret GROUP BY 1),
+    pnl AS (SELECT method, d.t_idx + 2 AS t_idx, sum(w * coalesce(r, 0)) AS gross FROM days d JOIN formed f ON f.win = (d.t_idx - 23) // 6 * 6 + 23 LEFT JOIN priced p ON p.t_idx = d.t_idx + 2 AND p.asset = f.asset GROUP BY 1, 2),
+    moved AS (SELECT method, win, sum(abs(coalesce(f.w, 0) - coalesce(b.w, 0))) AS turnover
+        FROM formed f FULL JOIN (SELECT method, win + 6 AS win, asset, w FROM formed) b USING (method, win, asset) WHERE win IN (SELECT win FROM ends) GROUP BY 1, 2)
+    SELECT pnl.t_idx, round(gross - 0.0004 * coalesce(turnover, 0), 6) AS r, round(coalesce(turnover, 0), 6) AS turnover, pnl.method FROM pnl LEFT JOIN moved ON moved.method = pnl.method AND moved.win + 2 = pnl.t_idx"""
+
+
+@query("leadlag_strategy", _STRATEGY, ("mret",))
 def leadlag_strategy(spark, sf):
     """The three methods side by side, net of 4 bps, on months."""
-    panel = panels.monthly_returns(spark, sf).select("t_idx", "asset", "r")
+    panel = stored(panels.monthly_returns(spark, sf).select("t_idx", "asset", "r"))
     market = panel.groupBy("t_idx").agg(F.avg("r").alias("r"))
     runs = [leadlag.strategy(panel, market, m, lookback=24, every=6, lags=2, least=12, cost_bps=4).withColumn("method", F.lit(m)) for m in ("c1", "c2", "levy")]
-    return runs[0].union(runs[1]).union(runs[2])
+    return rounded(runs[0].union(runs[1]).union(runs[2]), "t_idx", "method", r="r", turnover="turnover")
 
 
 # --- graphs -----------------------------------------------------------------------------------
