@@ -7,9 +7,12 @@ are classed by their last two bytes, so words never seen have a class, too.
 P(class | h) is a softmax over weights of hashed features of the history: the
 word before, the one before that (a skip), the pair of the last two classes,
 and the third last class with the nearest frequent word at any distance (a long
-skip). P(w | class) is a discounted relative frequency; what the discount
-leaves goes to one symbol of the class for all words that training never met.
-Over the words met and these symbols the probabilities sum to one.
+skip). A class's commonest words have a slot each, all its other words share
+slot 0: P(slot | class, h) is a second softmax, over weights of the word
+before and of the one before that, each hashed with the class. Within slot 0 a
+word has its discounted relative frequency; what the discount leaves
+goes to one symbol of the class for all words that training never met. Over the
+words met and these symbols the probabilities sum to one.
 
 Counts come from all training documents by grouped aggregation. Weights are
 trained in rounds: in each, every partition takes gradient steps over its share
@@ -31,6 +34,8 @@ HEAD, TAIL = 24, 39
 CLASSES = HEAD + TAIL + 1
 END = CLASSES - 1
 ROWS_LOG2 = 14
+#: Slots of a tail class: its commonest words and, as slot 0, all others.
+SLOTS = 32
 #: Words whose counts every task holds; counts of all others are joined.
 KEPT = 1 << 17
 DISCOUNT = 0.6
@@ -50,8 +55,10 @@ class Counts:
     head: np.ndarray  # hashes of the frequent words, by class
     words: np.ndarray  # hashes of KEPT words, sorted, and their counts
     n: np.ndarray
-    class_n: np.ndarray  # tokens and words of each tail class
-    class_v: np.ndarray
+    slotted: np.ndarray  # hashes of the words with a slot of their own, sorted, and their slots
+    slot: np.ndarray
+    slot_n: np.ndarray  # tokens by class and slot
+    rest_v: np.ndarray  # words in each class's slot 0
 
 
 def _tail_class(words: Words) -> np.ndarray:
@@ -102,23 +109,53 @@ def count(docs: DataFrame) -> DataFrame:
 
 def summary(counts: DataFrame) -> Counts:
     words = counts.where("kind = 0")
-    top = words.orderBy(F.desc("n"), "word").limit(KEPT).select("word", "n").toArrow()
+    top = words.orderBy(F.desc("n"), "word").limit(KEPT).select("word", "tail_class", "n").toArrow()
     hashes, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    cls = top.column("tail_class").to_numpy()
     head = hashes[:HEAD]
-    class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    slot = np.zeros(len(hashes), np.int64)
+    slot_n, rest_v = np.zeros((CLASSES, SLOTS), np.int64), np.zeros(CLASSES, np.int64)
+    for c in range(HEAD, END):
+        first = np.flatnonzero(cls[HEAD:] == c)[: SLOTS - 1] + HEAD
+        slot[first] = np.arange(1, len(first) + 1)
+        slot_n[c, 1 : len(first) + 1] = n[first]
     for c, tokens, kinds in words.where(~F.col("word").isin(head.view(np.int64).tolist())).groupBy("tail_class").agg(F.sum("n"), F.count("*")).collect():
-        class_n[c], class_v[c] = tokens, kinds
+        slot_n[c, 0] = tokens - slot_n[c].sum()
+        rest_v[c] = kinds - np.count_nonzero(slot_n[c, 1:])
     end = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     tokens, kinds = words.agg(F.sum("n"), F.count("*")).first()
     order = np.argsort(hashes)
-    return Counts((tokens or 0) + end, kinds + (end > 0), end, head, hashes[order], n[order], class_n, class_v)
+    own = order[slot[order] > 0]
+    return Counts((tokens or 0) + end, kinds + (end > 0), end, head, hashes[order], n[order], hashes[own], slot[own], slot_n, rest_v)
+
+
+@dataclass
+class Model:
+    """Weights and biases of the classes, and of the slots within them."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+
+
+def _rows(values, feature: int) -> np.ndarray:
+    """The rows of weights that a feature's values hash to."""
+    return (mix(values ^ mix(np.array([feature], np.uint64))) >> _U(64 - ROWS_LOG2)).astype(np.int64)
+
+
+def _slots(hashes: np.ndarray, counts: Counts) -> np.ndarray:
+    if not len(counts.slotted):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(counts.slotted, hashes), len(counts.slotted) - 1)
+    return np.where(counts.slotted[at] == hashes, counts.slot[at], 0)
 
 
 class Tokens:
     """Tokens of a slice's rows, each row's end included, with their features."""
 
-    def __init__(self, words: Words, head: np.ndarray):
-        rows = len(words.bounds) - 1
+    def __init__(self, words: Words, counts: Counts):
+        head, rows = counts.head, len(words.bounds) - 1
         self.bounds = words.bounds + np.arange(rows + 1)
         size = int(self.bounds[-1])
         ends = self.bounds[1:] - 1
@@ -144,66 +181,97 @@ class Tokens:
         near = np.concatenate([[-1], near[:-1]]) if size else at
         near = np.where(near >= start, cls[np.maximum(near, 0)], CLASSES).astype(np.uint64)
         c1, c2, c3 = (back(cls, k, CLASSES).astype(np.uint64) for k in (1, 2, 3))
-        made = (back(word, 1, _START), back(word, 2, _START), c1 * _U(1000) + c2, c3 * _U(1000) + near)
-        shift = _U(64 - ROWS_LOG2)
-        self.features = [(mix(x ^ mix(np.array([k + 1], np.uint64))) >> shift).astype(np.int64) for k, x in enumerate(made)]
+        before = (back(word, 1, _START), back(word, 2, _START))
+        made = (*before, c1 * _U(1000) + c2, c3 * _U(1000) + near)
+        self.features = [_rows(x, k + 1) for k, x in enumerate(made)]
+        # the tokens of tail classes: their slots, and the features that tell slots
+        self.tail = np.flatnonzero((cls >= HEAD) & (cls < END))
+        self.slot = _slots(word[self.tail], counts)
+        salt = mix(cls[self.tail].astype(np.uint64))
+        self.slot_features = [_rows(x[self.tail] ^ salt, k + 11) for k, x in enumerate(before)]
 
     def batches(self):
         for a in range(0, len(self.cls), BATCH):
             yield self.cls[a : a + BATCH], [f[a : a + BATCH] for f in self.features]
 
-
-_ONES = np.ones(CLASSES, np.float32)
+    def slot_batches(self):
+        for a in range(0, len(self.tail), BATCH):
+            yield self.cls[self.tail[a : a + BATCH]], self.slot[a : a + BATCH], [f[a : a + BATCH] for f in self.slot_features]
 
 
 def _masses(weights, bias, features):
-    """exp of the classes' scores, and their sums."""
+    """exp of the cells' scores, and their sums."""
     out = weights.take(features[0], axis=0)
     for f in features[1:]:
         out += weights.take(f, axis=0)
     out += bias
     np.exp(np.minimum(out, 60, out=out), out=out)
-    return out, out @ _ONES
+    return out, out @ np.ones(out.shape[1], np.float32)
+
 
+def _log_share(weights, bias, cell, features) -> np.ndarray:
+    mass, total = _masses(weights, bias, features)
+    return np.log10(np.maximum(mass[np.arange(len(cell)), cell], 1e-37)) - np.log10(total)
 
-def _class_scores(weights, bias, tokens: Tokens) -> np.ndarray:
+
+def _class_scores(model: Model, tokens: Tokens) -> np.ndarray:
     """log10 P(class | history) of every token."""
-    found = [np.zeros(0)]
-    for cls, features in tokens.batches():
-        mass, total = _masses(weights, bias, features)
-        found.append(np.log10(np.maximum(mass[np.arange(len(cls)), cls], 1e-37)) - np.log10(total))
-    return np.concatenate(found)
+    found = [_log_share(model.weights, model.bias, cls, features) for cls, features in tokens.batches()]
+    return np.concatenate([np.zeros(0), *found])
+
+
+def _slot_scores(model: Model, tokens: Tokens) -> np.ndarray:
+    """log10 P(slot | class, history) of every token; 0 where the class is one word."""
+    out = np.zeros(len(tokens.cls))
+    found = [_log_share(model.inner, model.inner_bias[cls], slot, features) for cls, slot, features in tokens.slot_batches()]
+    out[tokens.tail] = np.concatenate([np.zeros(0), *found])
+    return out
 
 
-def _steps(weights, bias, seen, tokens: Tokens, rate: float) -> None:
-    """Gradient steps over the tokens, in place; a feature's rate falls with the
+def _step(weights, bias, seen, cell, features, rate: float) -> None:
+    """A gradient step over a batch, in place; a feature's rate falls with the
     squared gradients that its row has seen."""
-    place, cell = np.zeros(len(weights), np.int64), np.arange(CLASSES)
-    for cls, features in tokens.batches():
-        p, total = _masses(weights, bias, features)
-        p /= total[:, None]
-        p[np.arange(len(cls)), cls] -= 1
-        flat = p.ravel()
-        for f in features:
-            here = np.zeros(len(weights), bool)
-            here[f] = True
-            at = np.flatnonzero(here)
-            place[at] = np.arange(len(at))
-            cells = (place[f] * CLASSES)[:, None] + cell
-            slope = np.bincount(cells.ravel(), weights=flat, minlength=len(at) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-            seen[at] += np.einsum("ij,ij->i", slope, slope) / CLASSES
-            weights[at] -= slope * (rate / np.sqrt(seen[at]))[:, None]
-
-
-def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias: every row of `docs` (key, text) takes part in one round."""
-    context = docs.sparkSession.sparkContext
-    freq = counts.class_n.astype(float)
+    width = weights.shape[1]
+    place, cells = np.zeros(len(weights), np.int64), np.arange(width)
+    p, total = _masses(weights, bias, features)
+    p /= total[:, None]
+    p[np.arange(len(cell)), cell] -= 1
+    flat = p.ravel()
+    for f in features:
+        here = np.zeros(len(weights), bool)
+        here[f] = True
+        at = np.flatnonzero(here)
+        place[at] = np.arange(len(at))
+        to = (place[f] * width)[:, None] + cells
+        slope = np.bincount(to.ravel(), weights=flat, minlength=len(at) * width).reshape(-1, width).astype(np.float32)
+        seen[at] += np.einsum("ij,ij->i", slope, slope) / width
+        weights[at] -= slope * (rate / np.sqrt(seen[at]))[:, None]
+
+
+def _biases(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Log frequencies of the classes, and of the slots of each class; a slot
+    without a word has none."""
+    freq = counts.slot_n.sum(axis=1).astype(float)
     at = np.searchsorted(counts.words, counts.head)
     freq[: len(counts.head)] = counts.n[at] if len(counts.head) else 0
     freq[END] = counts.end
-    bias = np.log((freq + 0.5) / (freq + 0.5).sum()).astype(np.float32)
-    weights = np.zeros((1 << ROWS_LOG2, CLASSES), np.float32)
+    inner = counts.slot_n + 0.5
+    inner[:, 1:][counts.slot_n[:, 1:] == 0] = 0
+    with np.errstate(divide="ignore"):
+        inner = np.log(inner / inner.sum(axis=1, keepdims=True))
+    return np.log((freq + 0.5) / (freq + 0.5).sum()).astype(np.float32), inner.astype(np.float32)
+
+
+def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15) -> Model:
+    """Every row of `docs` (key, text) takes part in one round."""
+    context = docs.sparkSession.sparkContext
+    bias, inner_bias = _biases(counts)
+    cut = CLASSES << ROWS_LOG2
+    weights = np.zeros(cut + (SLOTS << ROWS_LOG2), np.float32)
+
+    def tables(flat):
+        return flat[:cut].reshape(-1, CLASSES), flat[cut:].reshape(-1, SLOTS)
+
     parts = 64
     schema = "part int, salt int, weights binary, tokens double"
 
@@ -216,12 +284,17 @@ def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15)
         start = context.broadcast(weights)
 
         def task(batches, start=start):
-            own, seen, n = start.value.copy(), np.ones(len(start.value), np.float32), 0
+            own, n = start.value.copy(), 0
+            classes, inner = tables(own)
+            seen, inner_seen = np.ones(len(classes), np.float32), np.ones(len(inner), np.float32)
             for batch in batches:
                 for part in slices(batch):
-                    tokens = Tokens(Words(part.column("text")), counts.head)
+                    tokens = Tokens(Words(part.column("text")), counts)
                     n += len(tokens.cls)
-                    _steps(own, bias, seen, tokens, rate)
+                    for cls, features in tokens.batches():
+                        _step(classes, bias, seen, cls, features, rate)
+                    for cls, slot, features in tokens.slot_batches():
+                        _step(inner, inner_bias[cls], inner_seen, slot, features, rate)
             if n:
                 salt = TaskContext.get().partitionId() // 32
                 pieces = [x.tobytes() for x in np.split(own, parts)]
@@ -233,8 +306,9 @@ def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.15)
         mean = some.groupBy("part", "salt").applyInArrow(average, schema).groupBy("part").applyInArrow(average, schema)
         got = {r.part: r.weights for r in mean.collect()}
         if got:
-            weights = np.concatenate([np.frombuffer(got[p], np.float32).reshape(-1, CLASSES) for p in range(parts)])
-    return weights, bias
+            weights = np.concatenate([np.frombuffer(got[p], np.float32) for p in range(parts)])
+    classes, inner = tables(weights)
+    return Model(classes, bias, inner, inner_bias)
 
 
 def score(docs: DataFrame, training, rounds: int = 2) -> DataFrame:
@@ -252,8 +326,7 @@ def score(docs: DataFrame, training, rounds: int = 2) -> DataFrame:
     learn = rows.where(training)
     stored = count(learn)
     counts = summary(stored)
-    weights, bias = train(learn.select("key", "text"), counts, rounds)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias, counts))
+    model = docs.sparkSession.sparkContext.broadcast((train(learn.select("key", "text"), counts, rounds), counts))
     scale = np.log10(counts.total + counts.distinct + 1)
 
     def known(words: Words, counts: Counts) -> np.ndarray:
@@ -268,24 +341,24 @@ def score(docs: DataFrame, training, rounds: int = 2) -> DataFrame:
         return total[bounds[1:]] - total[bounds[:-1]]
 
     def texts(batches):
-        weights, bias, counts = model.value
+        trained, counts = model.value
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                tokens = Tokens(words, counts.head)
+                tokens = Tokens(words, counts)
                 n = known(words, counts)
-                tail = (tokens.word_cls >= HEAD) & (n > 0)
-                word = np.where(tail, np.log10(np.maximum(n - DISCOUNT, 1e-9) / np.maximum(counts.class_n[tokens.word_cls], 1)), 0)
+                rest = (tokens.word_cls >= HEAD) & (n > 0) & (_slots(words.hash, counts) == 0)
+                word = np.where(rest, np.log10(np.maximum(n - DISCOUNT, 1e-9) / np.maximum(counts.slot_n[tokens.word_cls, 0], 1)), 0)
                 base = np.where(n > 0, np.log10(n + 1) - scale, 0)
                 end = np.log10(counts.end + 1) - scale
-                score = sums(_class_scores(weights, bias, tokens), tokens.bounds) + sums(word, words.bounds)
+                score = sums(_class_scores(trained, tokens) + _slot_scores(trained, tokens), tokens.bounds) + sums(word, words.bounds)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("doc_id"), pa.array(np.diff(tokens.bounds), pa.int64()), pa.array(sums(n > 0, words.bounds) + (counts.end > 0), pa.int64()), pa.array(sums(base, words.bounds) + end), pa.array(score)],
                     names=["key", "doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     def rare(batches):
-        counts = model.value[2]
+        counts = model.value[1]
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
@@ -306,14 +379,14 @@ def score(docs: DataFrame, training, rounds: int = 2) -> DataFrame:
     whole = rows.select("key", "doc_id", "text").mapInArrow(texts, "key long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     seldom = rows.select("key", "text").mapInArrow(rare, "key long, word long, times int, tail_class int")
     mass = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("tail_class") + 1)
-    class_n = np.maximum(counts.class_n, 1)
-    unseen = np.where(counts.class_v > 0, np.log10(np.maximum(DISCOUNT * counts.class_v, 1e-9) / class_n), 0)
+    rest_n = np.maximum(counts.slot_n[:, 0], 1)
+    unseen = np.where(counts.rest_v > 0, np.log10(np.maximum(DISCOUNT * counts.rest_v, 1e-9) / rest_n), 0)
     met = F.col("n").isNotNull()
     priced = seldom.join(stored.where("kind = 0").select("word", "n"), "word", "left").select(
         "key",
         F.when(met, F.col("times")).otherwise(0).alias("known"),
         (F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(float(scale)))).alias("base"),
-        (F.col("times") * F.when(met, F.log10(F.col("n") - DISCOUNT) - mass(np.log10(class_n))).otherwise(mass(unseen))).alias("part"),
+        (F.col("times") * F.when(met, F.log10(F.col("n") - DISCOUNT) - mass(np.log10(rest_n))).otherwise(mass(unseen))).alias("part"),
     )
     # rows equal in doc_id and text share a key, and each brings the same words
     rest = priced.groupBy("key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("part").alias("part"))

@@ -524,24 +524,34 @@ def test_language_model_counts_and_normalisation(labelled, odd_docs, no_docs):
     assert len(rows(maxent.score(odd_docs, F.lit(False)))) == odd_docs.count()
 
 
-def test_probabilities_sum_to_one(labelled):
-    """Over all classes by the trained softmax, and over the words of each class and its symbol for the rest."""
+def test_probabilities_sum_to_one(labelled, spark):
+    """Over all classes and over the slots of each by the trained softmaxes, and over the words of slot 0 and its symbol for words not met."""
     docs, _ = labelled
+    letters = "bcdfghklmnprst"
+    many = " ".join(a + b + c + "o" for a in letters for b in letters for c in letters)
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, many)], "doc_id long, text string"))
     stored = maxent.count(docs)
     counts = maxent.summary(stored)
     keyed = docs.where("doc_id < 80").select(F.xxhash64("doc_id").alias("key"), "text")
-    weights, bias = maxent.train(keyed, counts, 1)
-    assert np.abs(weights).max() > 0
-    tokens = maxent.Tokens(maxent.Words(pa.array([r.text for r in docs.where("doc_id < 5").collect()])), counts.head)
+    model = maxent.train(keyed, counts, 1)
+    assert np.abs(model.weights).max() > 0 and np.abs(model.inner).max() > 0
+    tokens = maxent.Tokens(maxent.Words(pa.array([r.text for r in docs.where("doc_id < 5").collect()])), counts)
+    total = np.zeros(len(tokens.tail))
+    for slot in range(maxent.SLOTS):
+        tokens.slot = np.full(len(total), slot)
+        total += 10 ** maxent._slot_scores(model, tokens)[tokens.tail]
+    assert len(total) and total == pytest.approx(np.ones(len(total)), abs=1e-4)
     total = np.zeros(len(tokens.cls))
     for c in range(maxent.CLASSES):
         tokens.cls = np.full(len(total), c)
-        total += 10 ** maxent._class_scores(weights, bias, tokens)
+        total += 10 ** maxent._class_scores(model, tokens)
     assert total == pytest.approx(np.ones(len(total)), abs=1e-4)
-    tail = stored.where("kind = 0").where(~F.col("word").isin(counts.head.view(np.int64).tolist()))
-    for r in tail.groupBy("tail_class").agg(F.sum(F.col("n") - maxent.DISCOUNT).alias("met")).collect():
+    alone = np.concatenate([counts.head, counts.slotted]).view(np.int64).tolist()
+    rest = stored.where("kind = 0").where(~F.col("word").isin(alone)).groupBy("tail_class").agg(F.sum(F.col("n") - maxent.DISCOUNT).alias("met")).collect()
+    assert rest
+    for r in rest:
         c = r.tail_class
-        assert (r.met + maxent.DISCOUNT * counts.class_v[c]) / counts.class_n[c] == pytest.approx(1)
+        assert (r.met + maxent.DISCOUNT * counts.rest_v[c]) / counts.slot_n[c, 0] == pytest.approx(1)
 
 
 def test_history_beats_the_base_on_held_out_texts(spark):
