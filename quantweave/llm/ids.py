@@ -106,12 +106,17 @@ class Encoder:
         self.used += len(ids)
         return at, size
 
-    def column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids in a row, `end` after each row's, and the rows' bounds in them."""
+    def cut(self, texts: pa.Array) -> Words:
+        """What the library is asked for one by one."""
         # a special token's name must not come about by lower-casing
         words = Words(texts, cut_tail=True)
         if b"<|" in words.raw.tobytes():
             words = Words(texts, lower=False, cut_tail=True)
+        return words
+
+    def column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids in a row, `end` after each row's, and the rows' bounds in them."""
+        words = self.cut(texts)
         slot = (words.hash & np.uint64(_SLOTS - 1)).astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != words.hash)
         at, size = self.at[slot], self.size[slot].astype(np.int64)

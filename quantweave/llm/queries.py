@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, langid, maxent, nearjoin, neighbours, packing, sharding, tokenfiles, toxicity
+from . import audit, decontaminate, extract, langid, lexical, maxent, nearjoin, neighbours, packing, pieces, sharding, tokenfiles, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), spark)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -71,6 +83,60 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_maxent_scoring": op9_maxent_scoring,
     "op10_token_files": op10_token_files,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+      + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS mask
+  FROM words LEFT JOIN said USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+letters(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+steps AS (
+  SELECT filter_order, i::INT AS step, bs[i] AS own, coalesce(list_sum(bs[1:i-1]), 0)::INT AS before
+  FROM orders, range(1, 6) g(i)),
+results AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (mask & (own | before) = 0) AS kept,
+    sum(n) FILTER (mask & own <> 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (mask & own <> 0 AND mask & before <> 0) AS redundant,
+    sum(n) FILTER (mask = own) AS unique_fails,
+    sum(good) FILTER (mask & own <> 0 AND mask & before = 0) AS good_lost,
+    sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM results
+"""
+
+_SEARCH = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+held AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents, letters),
+sizes AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM held WHERE len(ts) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM held) GROUP BY r, term),
+asked AS (
+  SELECT q, item_id, unnest(list_distinct(regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS q, * FROM benchmark), letters),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs),
+scores AS (
+  SELECT q, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // len)))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals GROUP BY q, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op11_filter_audit": _AUDIT, "op12_lexical_search": _SEARCH}

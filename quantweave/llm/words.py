@@ -55,8 +55,14 @@ class Words:
     """Words of a slice of a column: `hash[bounds[i]:bounds[i + 1]]` are row i's;
     `start` and `end` are their places in `data`."""
 
-    def __init__(self, column: pa.Array, lower: bool = True, cut_tail: bool = False):
-        """cut_tail: a full stop or comma that ends a word after an ASCII letter is a word of its own."""
+    def __init__(self, column: pa.Array, lower: bool = True, cut_tail: bool = False, space: np.ndarray = _SPACE):
+        """cut_tail: a full stop or comma that ends a word after an ASCII letter is a word of its own.
+        space: for each byte, whether it lies between words; ASCII only, so that characters stay whole."""
+        self.load(column, lower)
+        self._cut(cut_tail, space)
+        self.name()
+
+    def load(self, column: pa.Array, lower: bool) -> None:
         column = column.cast(pa.large_binary()).fill_null(b"")
         edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         raw = column.buffers()[2]
@@ -64,8 +70,10 @@ class Words:
         self.raw = raw[edges[0] : edges[-1]]
         self.edges = edges - edges[0]
         self.data = (_LOWER if lower else _SAME)[self.raw]
+
+    def _cut(self, cut_tail: bool, space: np.ndarray) -> None:
         solid = np.zeros(len(self.data) + 2, bool)
-        solid[1:-1] = ~_SPACE[self.data]
+        solid[1:-1] = ~space[self.data]
         first = solid[1:] & ~solid[:-1]
         last = solid[:-1] & ~solid[1:]
         inner = self.edges[1:-1]
@@ -78,6 +86,9 @@ class Words:
             cut = np.flatnonzero(stop)
             first[cut] = last[cut] = True
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last)
+
+    def name(self) -> None:
+        """Bounds and hashes of the words from `start` and `end`."""
         self.bounds = np.searchsorted(self.start, self.edges)
         self._sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * _powers(_R, len(self.data)), out=self._sums[1:])
