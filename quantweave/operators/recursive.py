@@ -41,32 +41,28 @@ def ewma(x: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def ew_moments(x: np.ndarray, alpha: float, adjusted: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentially weighted mean and unbiased standard deviation.
+    """Exponentially weighted mean and unbiased standard deviation, from sums of w, w^2, w x and w x^2.
 
-    A gap ages all weights; `adjusted` weights are relative to their sum,
-    others follow the plain recursion. Null below `least` values."""
-    decay, fresh = 1 - alpha, 1.0 if adjusted else alpha
+    Every row, a gap too, ages all weights. A new value weighs 1 if `adjusted`, else alpha against all before
+    it, whose weights come to 1. Null below `least` values, the deviation below two."""
+    there = ~np.isnan(x)
     mean_out, std_out = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    mean, cov, one, two, weight, seen = np.nan, 0.0, 1.0, 1.0, 1.0, 0
+    base = x[there][0] if there.any() else 0.0  # sums of distances from it lose fewer digits
+    sums, ageing = np.zeros(4), (1 - alpha) ** np.array([1, 2, 1, 1])
+    seen = 0
     for i, v in enumerate(x):
-        there = not np.isnan(v)
-        if seen:
-            one, two, weight = one * decay, two * decay * decay, weight * decay
-            if there:
-                old = mean
-                mean = (weight * old + fresh * v) / (weight + fresh)
-                cov = (weight * (cov + (old - mean) ** 2) + fresh * (v - mean) ** 2) / (weight + fresh)
-                one, two, weight = one + fresh, two + fresh * fresh, weight + fresh
-                if not adjusted:
-                    one, two, weight = one / weight, two / (weight * weight), 1.0
-        elif there:
-            mean = v
-        seen += there
-        if seen >= least and seen:
-            mean_out[i] = mean
-            room = one * one - two
-            if room > 0:
-                std_out[i] = np.sqrt(cov * one * one / room)
+        sums *= ageing
+        if there[i]:
+            fresh, d = 1.0 if adjusted or not seen else alpha, v - base
+            sums += (fresh, fresh * fresh, fresh * d, fresh * d * d)
+            if not adjusted:
+                sums /= sums[0] ** np.array([1, 2, 1, 1])
+            seen += 1
+        if seen and seen >= least:
+            w, w2, wx, wxx = sums
+            mean_out[i] = base + wx / w
+            if seen > 1 and w * w > w2:
+                std_out[i] = np.sqrt(max(wxx / w - (wx / w) ** 2, 0.0) * w * w / (w * w - w2))
     return mean_out, std_out
 
 

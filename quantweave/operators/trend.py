@@ -25,18 +25,22 @@ def macd_features(panel: DataFrame, speeds: list[tuple[int, int]], price_window:
     return df.drop(*[f"_e{x}" for x in spans], *[f"_q{a}" for a, _ in speeds])
 
 
-def winsorise(df: DataFrame, columns: list[str], span: float = 252, k: float = 5.0) -> DataFrame:
-    """Clips each column to k exponentially weighted deviations around its exponentially weighted mean."""
+def winsorise(df: DataFrame, columns: list[str], halflife: float = 252, k: float = 5.0, least: int | None = None) -> DataFrame:
+    """Clips each column to k exponentially weighted deviations around its exponentially weighted mean; as they
+    are before `least` values (half the half-life, if not given) and where there is no deviation yet."""
     from .recursive import ew_moments
 
+    alpha, first = 1 - 0.5 ** (1 / halflife), int(halflife // 2) if least is None else least
+
     def f(rows):
         out = {}
         for c in columns:
-            out[f"_m_{c}"], out[f"_s_{c}"] = ew_moments(_numbers(rows[c]), 2 / (span + 1), True, 1)
+            out[f"_m_{c}"], out[f"_s_{c}"] = ew_moments(_numbers(rows[c]), alpha, False, first)
         return out
 
     df = fold(df, f, {f"{p}_{c}": "double" for c in columns for p in ("_m", "_s")})
-    df = df.withColumns({c: F.when(F.col(f"_s_{c}").isNull(), F.col(c)).otherwise(S.clip(c, F.col(f"_m_{c}") - k * F.col(f"_s_{c}"), F.col(f"_m_{c}") + k * F.col(f"_s_{c}"))) for c in columns})
+    there = lambda c: F.col(f"_s_{c}").isNotNull() & ~F.isnan(f"_s_{c}")
+    df = df.withColumns({c: F.when(there(c), S.clip(c, F.col(f"_m_{c}") - k * F.col(f"_s_{c}"), F.col(f"_m_{c}") + k * F.col(f"_s_{c}"))).otherwise(F.col(c)) for c in columns})
     return df.drop(*[f"{p}_{c}" for c in columns for p in ("_m", "_s")])
 
 
