@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 
 from quantweave.functions.series import by
 
+from . import statemaps
 from .recursive import _numbers, fold, threshold_state
 from .regression import origin_slope
 
@@ -35,16 +36,13 @@ def trade(panel: DataFrame, spread: str, score: str, enter: float, leave: float,
 
 
 def grid(panel: DataFrame, spread: str, score: str, enters: list[float], leaves: list[float], periods: float = 252) -> DataFrame:
-    """One row a pair of thresholds with leave < enter: sharpe, on_share, trades, n. Pairs are rows, so all run in one job."""
-    pairs = [(e, x) for e in enters for x in leaves if x < e]
-    params = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("enter"), F.lit(float(x)).alias("leave")) for e, x in pairs])).alias("p")
-    rows = panel.select("asset", "t_idx", F.col(spread).alias("_s"), F.col(score).alias("_z"), params).select("asset", "t_idx", "_s", "_z", "p.*")
-
-    def states(p):
-        return {"position": threshold_state(_numbers(p["_z"]), float(p["enter"].iloc[0]), float(p["leave"].iloc[0]))}
-
-    rows = fold(rows, states, {"position": "long"}, ("asset", "enter", "leave"))
-    run = W.partitionBy("asset", "enter", "leave").orderBy("t_idx")
-    rows = rows.withColumns({"pnl": F.coalesce(F.lag("position").over(run) * (F.col("_s") - F.lag("_s").over(run)), F.lit(0.0)), "moved": (F.col("position") != F.coalesce(F.lag("position").over(run), F.lit(0))).cast("int")})
-    std = F.stddev_samp("pnl")
-    return rows.groupBy("enter", "leave").agg(F.count("*").alias("n"), F.when(std > 0, F.avg("pnl") / std * periods**0.5).otherwise(0.0).alias("sharpe"), F.avg((F.col("position") != 0).cast("double")).alias("on_share"), F.sum("moved").alias("trades"))
+    """One row a pair of thresholds with leave < enter: sharpe, on_share, trades, n over all assets. All pairs
+    share one pass over the panel."""
+    pairs = [(float(e), float(x)) for e in enters for x in leaves if x < e]
+    gain = F.lead(spread).over(by()) - F.col(spread)
+    rows = panel.select("asset", "t_idx", F.lit(0).alias("_run"), F.lit(True).alias("_own"), gain.alias("_g"), F.col(score).alias("score"))
+    each = statemaps.sweep(rows, {"score": pairs}, ["asset"], "_run", "_own", "_g")
+    sums = each.groupBy("enter", "leave").agg(*[F.sum(c).alias(c) for c in ("n", "total", "square", "on", "moved")])
+    mean = F.col("total") / F.col("n")
+    std = F.sqrt(F.greatest((F.col("square") - F.col("total") * mean) / (F.col("n") - 1), F.lit(0.0)))
+    return sums.select("enter", "leave", "n", F.when(std > 0, mean / std * periods**0.5).otherwise(0.0).alias("sharpe"), (F.col("on") / F.col("n")).alias("on_share"), F.col("moved").alias("trades"))
