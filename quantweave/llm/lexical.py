@@ -32,10 +32,9 @@ from .shared import saved
 from .words import Words, slices
 
 _U = np.uint64
-#: For each byte, whether it ends a term: ASCII but for digits and letters.
-_BETWEEN = np.zeros(256, bool)
-_BETWEEN[:128] = True
-_BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = False
+#: Each byte, or a space for one that ends a term: ASCII but for digits and letters.
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 #: Queries of one pass over the documents: bounds what tasks get and hold of them.
 QUERIES = 4096
 #: Documents and postings of a block, and documents of a step of the walk.
@@ -49,7 +48,12 @@ _FOUND = "item int, item_id long, part int, doc_id long, score long"
 
 
 def _terms(texts: pa.Array) -> Words:
-    return Words(texts, space=_BETWEEN)
+    texts = texts.cast(pa.large_binary())
+    nulls, bounds, data = texts.buffers()
+    if data is not None:
+        data = pa.py_buffer(_SPACED[np.frombuffer(data, np.uint8)])
+        texts = pa.Array.from_buffers(texts.type, len(texts), [nulls, bounds, data], offset=texts.offset)
+    return Words(texts)
 
 
 class Postings:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ids import Encoder
-from .words import Words, slices
+from .words import _R_INVERSE, Words, _powers, mix, slices
 
 SPACE = "▁"
 _PAIRS = 1 << 21
@@ -51,7 +51,7 @@ class Stretches(Words):
     or one character that stands alone. `alone`: for each byte, whether it is such a character."""
 
     def __init__(self, column: pa.Array, alone: np.ndarray):
-        self.load(column, lower=False)
+        super().__init__(column, lower=False)
         data, edges = self.data, self.edges
         space, single = data == 32, alone[data]
         first = single | space
@@ -60,7 +60,9 @@ class Stretches(Words):
         first[edges[:-1][np.diff(edges) > 0]] = True
         self.start = np.flatnonzero(first)
         self.end = np.append(self.start[1:], len(data))[: len(self.start)]
-        self.name()
+        self.bounds = np.searchsorted(self.start, edges)
+        self._back = _powers(_R_INVERSE, len(data) + 1)[self.start]
+        self.hash = mix((self._sums[self.end] - self._sums[self.start]) * self._back)
 
 
 class Table:
