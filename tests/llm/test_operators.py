@@ -392,6 +392,15 @@ def test_host_boilerplate_without_an_article(spark):
         ('<article class="post comments-open"><p>A real text</p></article>', "A real text"),
         ('<html class="search"><body id="social"><main class="widget"><h1 class="notice">Head</h1><p>A text</p></main></body></html>', "Head\nA text"),
         ('<article><p>One</p><section id="discussion"><h2 id="related-work">Related work</h2><p>Two</p></section></article>', "One\nRelated work\nTwo"),
+        ('<article><p>One</p><div id="comments"><p>Reader one says</p><p>Reader two says</p></div></article>', "One"),
+        ('<article><p>One</p><ul class="comment-list"><li>First!</li></ul><div class="user-comments"><p>Second</p></div></article>', "One"),
+        ('<article><p>One</p><div class="discussion"><p>I disagree</p><p>So do I</p></div><p>Two</p></article>', "One\nTwo"),
+        ('<article><p>One</p><div class="discussion"><h2>Discussion</h2><p>The results agree</p></div></article>', "One\nDiscussion\nThe results agree"),
+        ('<article><p>One</p><div class="notice">You have two free articles left</div><p>Two</p></article>', "One\nTwo"),
+        ('<article><p>One <span class="ad">Buy <b>now</b></span> two</p><p>Three<span style="display: none">hidden</span> four</p></article>', "One two\nThree four"),
+        ('<article><p>One</p></article><div class="post-comments"><p>Reader</p></div><article class="teaser"><p>Read on</p></article>', "One"),
+        ('<article><p>One <span class="share">50 %</span> <em class="search">two</em></p></article>', "One 50 % two"),
+        ('<div class="post-comments"><p>Reader</p></div><div><p>A text of its own</p></div>', "A text of its own"),
         ('<article><p>One</p><div class="related"><a href="/x">Other page</a></div><div class="comments"><p>Nice</p></div></article><div class="main-nav">Go</div>', "One"),
         ('<div class="sidebar">Side</div><div class="no-sidebar">A text</div>', "A text"),
     ],
