@@ -21,8 +21,8 @@ from .shared import saved
 from .words import slices
 
 BUCKETS = 1 << 16
-#: Languages of a model, at most: the commonest labels.
-LANGUAGES = 64
+#: Languages that are scored at a time, and blocks of them that a worker keeps ready.
+TOGETHER, READY = 32, 8
 #: Trigrams overlap and come in runs: a text's evidence weighs as this many at most.
 WEIGHT = 80
 #: Rows that a parent's prior is worth.
@@ -58,59 +58,92 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class TextModel:
+    """Trigram counts of every language, as they are met: one number for each trigram that a language has."""
+
     languages: list[str]
-    logs: np.ndarray  # (BUCKETS, languages) log P(trigram | language)
+    language: np.ndarray  # of each count, ascending
+    bucket: np.ndarray
+    count: np.ndarray
     background: np.ndarray  # (256,) log P(byte), whatever the bytes beside it
 
+    def __post_init__(self):
+        self._ready: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_ready": {}}
+
+    def logs(self, first: int) -> np.ndarray:
+        """(BUCKETS, languages) log P(trigram | language) of TOGETHER languages from `first` on."""
+        if first not in self._ready:
+            if len(self._ready) >= READY:
+                self._ready.clear()
+            a, b = np.searchsorted(self.language, (first, first + TOGETHER))
+            counts = np.full((BUCKETS, min(TOGETHER, len(self.languages) - first)), 0.5)
+            counts[self.bucket[a:b], self.language[a:b] - first] += self.count[a:b]
+            self._ready[first] = np.log(counts / counts.sum(0))
+        return self._ready[first]
+
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weighted log-likelihoods of each row, that of the background, and how many trigrams it has."""
         grams, parts, bounds = _trigrams(texts)
         n = np.diff(bounds)
-        sums = np.zeros((len(grams) + 1, len(self.languages)))
-        np.cumsum(self.logs[grams], axis=0, out=sums[1:])
-        total = sums[bounds[1:]] - sums[bounds[:-1]]
+        total = np.zeros((len(n), len(self.languages)))
+        for first in range(0, len(self.languages), TOGETHER):
+            logs = self.logs(first)
+            sums = np.zeros((len(grams) + 1, logs.shape[1]))
+            np.cumsum(logs[grams], axis=0, out=sums[1:])
+            total[:, first : first + TOGETHER] = sums[bounds[1:]] - sums[bounds[:-1]]
         base = np.concatenate([np.zeros(1), np.cumsum(self.background[parts].sum(1))])
         weight = np.minimum(n, WEIGHT) / np.maximum(n, 1)
         return total * weight[:, None], (base[bounds[1:]] - base[bounds[:-1]]) * weight, n
 
 
 def fit(docs: DataFrame) -> TextModel:
-    """Trigram frequencies of each language from all rows of (text, lang) that have a label."""
+    """Trigram frequencies of every language from all rows of (text, lang) that have both.
+
+    Each label is a language, however rare; they are names of languages, so their list and BUCKETS counts for
+    each are held by the driver and every worker. Rows without a text or label, and texts without a letter,
+    count nothing; repeated rows count each. An empty table gives a model without languages. Other columns are
+    not read.
+    """
     labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in top)
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
 
     def task(batches):
-        total = np.zeros((max(len(languages), 1), BUCKETS), np.int64)
+        place = {x: i for i, x in enumerate(languages)}
+        held: dict[int, np.ndarray] = {}
         each = np.zeros(256, np.int64)
+
+        def given(language: int, counts: np.ndarray) -> pa.RecordBatch:
+            seen = np.flatnonzero(counts)
+            arrays = [np.full(len(seen), language), seen, counts[seen]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["language", "bucket", "n"])
+
         for batch in batches:
             for part in slices(batch):
-                place = {x: i for i, x in enumerate(languages)}
-                own = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
+                own = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
                 grams, parts, bounds = _trigrams(part.column("text"))
                 each += np.bincount(parts.ravel(), minlength=256)
                 row = np.repeat(own, np.diff(bounds))
-                keep = row >= 0
-                total += np.bincount(row[keep] * BUCKETS + grams[keep], minlength=total.size).reshape(total.shape)
-        language, bucket = np.nonzero(total)
-        seen = np.flatnonzero(each)  # language -1: bytes
-        arrays = [np.append(language, np.full(len(seen), -1)), np.append(bucket, seen), np.append(total[language, bucket], each[seen])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["language", "bucket", "n"])
-
-    counts = np.zeros((BUCKETS, len(languages)))
+                for i in np.unique(own).tolist():
+                    if i not in held and len(held) == TOGETHER:  # room for others
+                        yield from (given(k, held.pop(k)) for k in list(held))
+                    held[i] = held.get(i, 0) + np.bincount(grams[row == i], minlength=BUCKETS)
+        yield from (given(k, v) for k, v in held.items())
+        yield given(-1, each)  # bytes
+
     # BUCKETS rows a language at most
     got = labelled.mapInArrow(task, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     language, bucket, n = (got.column(c).to_numpy() for c in ("language", "bucket", "n"))
     own = language >= 0
-    counts[bucket[own], language[own]] = n[own]
-    counts += 0.5
     single = np.zeros(256)
     single[bucket[~own]] = n[~own]
     # half as in the labelled texts, else any letter: rare ones are no sign of a language
     plain, letters = np.zeros(256), _LETTER.astype(float)
     plain[97:123] = plain[_EDGE] = letters[_EDGE] = 1
     mixed = 0.5 * single / max(single.sum(), 1) + 0.4 * plain / plain.sum() + 0.1 * letters / letters.sum()
-    return TextModel(languages, np.log(counts / counts.sum(0)), np.log(np.maximum(mixed, 1e-9)))
+    order = np.flatnonzero(own)[np.lexsort((bucket[own], language[own]))]
+    return TextModel(languages, language[order], bucket[order], n[order], np.log(np.maximum(mixed, 1e-9)))
 
 
 def _scored(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
