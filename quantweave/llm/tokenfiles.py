@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,7 +115,8 @@ def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(entries: pa.Table) -> dict[str, np.ndarray]:
-    ids, shard, at, n = (entries.column(c).to_numpy() for c in ("doc_id", "shard", "at", "n"))
+    ids = _ids(entries)
+    shard, at, n = (entries.column(c).to_numpy() for c in ("shard", "at", "n"))
     order = np.lexsort((at, shard, ids))
     ids, shard, at, n = ids[order], shard[order], at[order], n[order]
     unique, first, many = np.unique(ids, return_index=True, return_counts=True)
@@ -131,13 +133,14 @@ def _index(entries: pa.Table) -> dict[str, np.ndarray]:
 # --- writing --------------------------------------------------------------------------------
 
 
-def _key(doc_id: Column) -> Column:
-    """A null doc_id has the key of the smallest long."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+def _bucket(buckets: int) -> Column:
+    """Rows without an id have an index file of their own, the last one."""
+    return F.when(F.col("doc_id").isNull(), buckets).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("int").alias("bucket")
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+def _ids(rows: pa.Table) -> np.ndarray:
+    """Ids of an index file: of the one for rows without an id, all the same."""
+    return pc.fill_null(rows.column("doc_id"), 0).to_numpy()
 
 
 def write(docs: DataFrame, uri: str, path: str | None = None, end: int = 2) -> None:
@@ -171,8 +174,9 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end: int = 2) -> N
         else:
             store.delete_file(own)
 
-    rows = docs.select(_key(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows that share an id may fill several shards
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     entries = saved(ordered.mapInArrow(shard, ENTRY + ", width int"))
     # one row a shard
     totals = sorted(map(tuple, entries.groupBy("shard").agg(F.sum("n"), F.count("*"), F.max("width")).collect()))
@@ -185,8 +189,8 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end: int = 2) -> N
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(rows)], pa.int64())})
 
     made = entries.select("doc_id", "shard", "at", "n", _bucket(buckets)).groupBy("bucket").applyInArrow(index, "bucket int, n long")
-    made.agg(F.sum("n")).collect()
-    _put(uri, "manifest.json", json.dumps({"width": max((t[3] for t in totals), default=2), "end": end, "buckets": buckets, "shards": [[s, n] for s, n, *_ in totals]}).encode())
+    files = sorted(r.bucket for r in made.select("bucket").collect())  # one number for about BUCKET documents
+    _put(uri, "manifest.json", json.dumps({"width": max((t[3] for t in totals), default=2), "end": end, "buckets": buckets, "files": files, "shards": [[s, n] for s, n, *_ in totals]}).encode())
 
 
 # --- reading --------------------------------------------------------------------------------
@@ -194,22 +198,20 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end: int = 2) -> N
 
 def lookup(keys: DataFrame, uri: str) -> DataFrame:
     """doc_id, shard, at, n, start for every document that has one of the keys (a
-    `doc_id` column; repeated keys count once, unknown ones give nothing)."""
+    `doc_id` column; repeated keys count once, unknown ones give nothing, null leads to
+    the documents without an id)."""
     manifest = json.loads(_get(uri, "manifest.json"))
     shards = np.array([s for s, _ in manifest["shards"]], np.int64)
     sums = np.array([n for _, n in manifest["shards"]], np.int64)
-    starts = np.cumsum(sums) - sums
+    starts, files = np.cumsum(sums) - sums, set(manifest["files"])
 
     def find(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids = rows.column("doc_id").to_numpy()
-        try:
-            parts = np.load(io.BytesIO(_get(uri, f"index-{key[0].as_py():05d}.mph")))
-        except FileNotFoundError:
-            parts = None
-        if parts is None:
-            take = which = np.zeros(0, np.int64)
+        ids = _ids(rows)
+        if key[0].as_py() not in files:
+            which = np.zeros(0, np.int64)
             shard, at, n = (np.zeros(0, np.int64),) * 3
-        else:
+        else:  # an index file that is gone is an error, not an empty result
+            parts = np.load(io.BytesIO(_get(uri, f"index-{key[0].as_py():05d}.mph")))
             hashed, prints = _keys(ids)
             slot = Slots(parts).of(hashed)
             runs, stored = parts["runs"], parts["print"]
@@ -221,9 +223,9 @@ def lookup(keys: DataFrame, uri: str) -> DataFrame:
             which = np.repeat(which, many)
             shard, at, n = parts["shard"][take], parts["at"][take], parts["n"][take]
         start = at + (starts[np.searchsorted(shards, shard)] if len(shard) else 0)
-        return pa.table({"doc_id": ids[which], "shard": pa.array(shard, pa.int32()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "start": pa.array(start, pa.int64())})
+        return pa.table({"doc_id": rows.column("doc_id").take(pa.array(which)), "shard": pa.array(shard, pa.int32()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "start": pa.array(start, pa.int64())})
 
-    rows = keys.select(_key(F.col("doc_id")).alias("doc_id")).distinct()
+    rows = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return rows.select("doc_id", _bucket(manifest["buckets"])).groupBy("bucket").applyInArrow(find, ENTRY + ", start long")
 
 
@@ -268,8 +270,7 @@ def digests(corpus: DataFrame) -> DataFrame:
             sums = [zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4").tobytes()) for x, w in zip(batch.column("ids"), batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    made = corpus.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return made.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return corpus.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, spark: SparkSession) -> DataFrame:
