@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -609,3 +610,54 @@ def test_short_texts_stay_and_gibberish_goes(spark):
     more = [(900, "Re.", None, "en", 1), (901, "A.", None, "en", 1), (902, "De.", None, "de", 1), (903, "das Haus!", None, None, 1), (904, "12 345.", None, "en", 1), (905, "qxq jzvk wqpx zzkj vvxq qkzj xxwv pqzx", None, "en", 1)]
     kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(docs + more, schema), model).collect()}
     assert kept == {*range(200), 900, 901, 902, 903}
+
+
+def test_every_label_is_a_language(spark):
+    """More labels than are scored or counted at a time; each text goes to its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02d}": " ".join(letters[(i + j) % 26] + letters[(i * 7 + j * 3) % 26] + letters[(i // 26 * 11 + j) % 26] for j in range(40)) for i in range(70)}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(words.items())] + [(None, None, "l00"), (1, "abc", None), (2, "", "l01")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted(words)
+    scores, _, _ = model.scores(pa.array(list(words.values())))
+    assert scores.shape == (70, 70) and (scores.argmax(1) == np.arange(70)).all()
+    # plain counting of one language's trigrams
+    n = len("".join(words["l05"].split()))
+    assert model.count[model.language == 5].sum() == n
+    dense = np.hstack([model.logs(a) for a in range(0, 70, langid.TOGETHER)])
+    assert np.allclose(np.exp(dense).sum(0), 1)
+
+
+def test_the_smallest_id_is_an_id(spark):
+    least = -(2**63)
+    docs = spark.createDataFrame([(least, "one two"), (None, "three"), (None, "four five"), (0, "six"), (2**63 - 1, "seven")], "doc_id long, text string")
+    uri = shared_dir(spark)
+    tokenfiles.write(docs, uri)
+    got = Counter(r["doc_id"] for r in rows(tokenfiles.lookup(docs.select("doc_id"), uri)))
+    assert got == Counter({least: 1, None: 2, 0: 1, 2**63 - 1: 1})
+    assert [r["doc_id"] for r in rows(tokenfiles.lookup(docs.select("doc_id").where("doc_id < 0"), uri))] == [least]
+    starts = sorted((r["start"], r["n"]) for r in rows(tokenfiles.lookup(docs.select("doc_id"), uri)))
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(5)]
+
+
+def test_a_lost_index_file_is_an_error(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    uri = shared_dir(spark)
+    tokenfiles.write(docs, uri)
+    for p in Path(uri.removeprefix("file://")).glob("index-*.mph"):
+        p.unlink()
+    with pytest.raises(Exception, match="index-00000"):
+        tokenfiles.lookup(docs.select("doc_id"), uri).collect()
+
+
+def test_one_id_may_fill_several_shards(spark):
+    docs = spark.createDataFrame([(7, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    uri, together = shared_dir(spark), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, "false")  # else so little goes to one task
+    try:
+        tokenfiles.write(docs, uri)
+    finally:
+        spark.conf.unset(together)
+    found = rows(tokenfiles.lookup(docs.select("doc_id"), uri))
+    assert len(found) == 400 and len({r["shard"] for r in found}) > 1
+    assert len({r["start"] for r in found}) == 400

@@ -25,6 +25,16 @@ def test_copies_leave_one_of_each_group(spark, odd_docs):
     assert out.count(None) == 1
 
 
+def test_leaks_go_by_row_whatever_their_id(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    clean = "quite another text that holds nothing of it at all and goes on for a while to be long enough"
+    data = [(None, item), (5, item), (None, clean), (5, clean), (6, clean), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_leaks(spark, docs, SF)
+    assert kept.columns == COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in data if t != item), key=str)
+
+
 def test_run_packs_what_the_stages_keep(spark):
     got = corpus_pipeline.run(spark, SF).cache()
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
