@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quantweave.functions import series as S
-from quantweave.operators import graphs, labels, leadlag
+from quantweave.operators import graphgrid, graphs, labels, leadlag, trend
 from quantweave.operators import recursive as R
 from quantweave.sources import panels
 from quantweave.sources.stored import stored
@@ -349,3 +349,39 @@ def bimodality(spark, sf):
 )
 def extreme_portfolio(spark, sf):
     return rounded(labels.extreme_portfolio(_features(spark, sf), "z12"), "t", ls="ls")
+
+
+# --- all graphs of a grid ------------------------------------------------------------------------
+
+_ALPHA_GRID, _BETA_GRID = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4], [0.0, 0.1, 0.3, 1.0, 3.0, 10.0]
+_OSC = "WITH RECURSIVE pa AS (SELECT asset, t_idx, r, sum(coalesce(r, 0)) OVER (PARTITION BY asset ORDER BY t_idx) AS price FROM mret), en AS (SELECT asset, t_idx, {first} FROM pa WHERE t_idx = 0 UNION ALL SELECT pa.asset, pa.t_idx, {next} FROM en JOIN pa ON pa.asset = en.asset AND pa.t_idx = en.t_idx + 1)".format(
+    first=", ".join(f"price AS {p}{k}" for k in (1, 2, 3) for p in "fs"), next=", ".join(f"(1 - {a}) * en.{p}{k} + {a} * pa.price" for k in (1, 2, 3) for p, a in (("f", 0.5**k), ("s", 0.5**k / 4)))
+)
+_GRID_SCORES = """ws AS (SELECT win, asset, t_idx, r AS x, lag(r, 1) OVER w AS p1, lag(r, 2) OVER w AS p2, lag(r, 3) OVER w AS p3 FROM mret, (VALUES (18), (24)) g(win) WHERE t_idx < 36 AND t_idx >= 36 - win WINDOW w AS (PARTITION BY win, asset ORDER BY t_idx)),
+    pr AS (SELECT a.win, a.asset AS i, b.asset AS j, a.x, b.p1, b.p2, b.p3 FROM ws a JOIN ws b ON a.win = b.win AND a.t_idx = b.t_idx AND a.asset <> b.asset WHERE a.x IS NOT NULL),
+    cc AS (SELECT win, i, j, corr(x, p1) AS c FROM pr GROUP BY 1, 2, 3 HAVING count(p1) >= 3 UNION ALL SELECT win, i, j, corr(x, p2) FROM pr GROUP BY 1, 2, 3 HAVING count(p2) >= 3 UNION ALL SELECT win, i, j, corr(x, p3) FROM pr GROUP BY 1, 2, 3 HAVING count(p3) >= 3),
+    o AS (SELECT win, i, j, max(abs(c)) AS s FROM cc WHERE NOT isnan(c) GROUP BY 1, 2, 3), sv AS (SELECT a.win, a.i, a.j, greatest(a.s - b.s, 0) AS v FROM o a JOIN o b ON a.win = b.win AND a.i = b.j AND a.j = b.i)"""
+
+
+@query(
+    "graph_grid",
+    f"""{_OSC}, {_GRID_SCORES}, mm AS (SELECT x.win, x.i, x.j, (x.v + y.v) / 2 AS m FROM sv x JOIN sv y ON x.win = y.win AND x.i = y.j AND x.j = y.i), nd AS (SELECT DISTINCT i FROM o),
+    ab AS (SELECT a, b FROM (SELECT unnest({_ALPHA_GRID}) AS a), (SELECT unnest({_BETA_GRID}) AS b)),
+    wt AS (SELECT a, b, i, j, sum(greatest(m - a / 2, 0)) / 2 / (1 + b) AS w FROM mm, ab GROUP BY 1, 2, 3, 4), dg AS (SELECT a, b, i, 1 + sum(w) AS d FROM wt GROUP BY 1, 2, 3),
+    al AS (SELECT a, b, i, j, w FROM wt UNION ALL SELECT a, b, i, i, 1.0 FROM nd, ab), nm AS (SELECT l.a, l.b, l.i, l.j, w / sqrt(p.d * q.d) AS w FROM al l JOIN dg p ON p.a = l.a AND p.b = l.b AND p.i = l.i JOIN dg q ON q.a = l.a AND q.b = l.b AND q.i = l.j),
+    v0 AS (SELECT pa.asset, pa.t_idx, CASE WHEN pa.t_idx >= 7 THEN f1 - s1 END AS o1, CASE WHEN pa.t_idx >= 15 THEN f2 - s2 END AS o2, CASE WHEN pa.t_idx >= 31 THEN f3 - s3 END AS o3, CASE WHEN count(r) OVER f >= 6 THEN stddev_samp(r) OVER f END AS sd, r FROM pa JOIN en USING (asset, t_idx) WINDOW f AS (PARTITION BY asset ORDER BY pa.t_idx ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+    vl AS (SELECT *, lead(r, 2) OVER (PARTITION BY asset ORDER BY t_idx) AS r2, lead(true, 2) OVER (PARTITION BY asset ORDER BY t_idx) AS there FROM v0 WHERE t_idx >= 36 AND t_idx < 72),
+    ne AS (SELECT a, b, t_idx, i, sum(w * o1) AS x1, sum(w * o2) AS x2, sum(w * o3) AS x3 FROM nm JOIN vl ON vl.asset = nm.j GROUP BY 1, 2, 3, 4),
+    pn AS (SELECT a, b, ne.t_idx, sum(({" + ".join(f"x{k} * exp(-(x{k} * x{k}) / 4) / 0.89" for k in (1, 2, 3))}) / 3 * 0.1 / (sd * sqrt(12) + 1e-10) / (SELECT count(*) FROM nd) * r2) AS p FROM ne JOIN vl ON vl.asset = ne.i AND vl.t_idx = ne.t_idx WHERE there GROUP BY 1, 2, 3),
+    sh AS (SELECT a AS alpha, b AS beta, count(p) AS n, avg(p) / (stddev_samp(p) + 1e-12) * sqrt(12) AS sharpe FROM pn GROUP BY 1, 2)
+    SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, n, round(sharpe, 6) AS sharpe, row_number() OVER (ORDER BY round(sharpe, 8) DESC, alpha, beta) = 1 AS best FROM sh""",
+    ("mret",),
+)
+def graph_grid(spark, sf):
+    """36 graphs of lead-lag scores at the end of three years, by the Sharpe ratio of the three after them."""
+    m = stored(panels.monthly_returns(spark, sf).select("t_idx", "asset", "r"))
+    wins = m.where("t_idx < 36").withColumn("win", F.explode(F.array(F.lit(18), F.lit(24)))).where(F.col("t_idx") >= 36 - F.col("win"))
+    found = stored(leadlag.lag_scores(leadlag.lagged_correlations(wins.select("win", "t_idx", "asset", F.col("r").alias("v")), 3)))
+    osc = trend.oscillators(m.withColumn("x", S.cumulative(F.coalesce("r", F.lit(0.0)))), (1, 2, 3)).withColumn("sd", S.rolling(F.stddev_samp, "r", 12, 6))
+    rows = osc.where("t_idx >= 36 and t_idx < 72").select("t_idx", "asset", "osc_1", "osc_2", "osc_3", "sd", "r")
+    return graphgrid.search(found, rows, _ALPHA_GRID, _BETA_GRID, ["osc_1", "osc_2", "osc_3"], periods=12).select("alpha", "beta", "n", r6("sharpe", "sharpe"), "best")
