@@ -351,6 +351,43 @@ def extreme_portfolio(spark, sf):
     return rounded(labels.extreme_portfolio(_features(spark, sf), "z12"), "t", ls="ls")
 
 
+# --- five strategies by class, year by year --------------------------------------------------------
+
+_YEARS = """lab AS (SELECT *, t_idx // 12 AS year FROM cl), yc AS (SELECT year, cls, count(*) AS n, sum(ret_fwd) AS s, sum(ret_fwd * ret_fwd) AS q FROM lab GROUP BY 1, 2),
+    yk AS (SELECT year, k::INT AS cls FROM (SELECT DISTINCT year FROM lab), (SELECT unnest(range(10)) AS k)), ys AS (SELECT k.year, k.cls, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM yk k LEFT JOIN yc ON yc.cls = k.cls AND yc.year BETWEEN k.year - 3 AND k.year - 1 GROUP BY 1, 2),
+    st AS (SELECT year, cls, CASE WHEN n >= 6 THEN s / n ELSE 0 END AS mu, CASE WHEN n >= 6 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) ELSE 1 END AS sigma FROM ys)"""
+
+
+def _labelled(spark, sf):
+    return labels.return_class(_features(spark, sf)).withColumn("year", F.floor(F.col("t_idx") / 12).cast("int"))
+
+
+@query("yearly_class_statistics", f"WITH {_FEAT}, {_CLS}, {_YEARS} SELECT year, cls, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM st", ("mret",))
+def yearly_class_statistics(spark, sf):
+    """Returns by class over the three years before each year."""
+    return rounded(labels.yearly_class_statistics(_labelled(spark, sf), 3), "year", "cls", mu="mu", sigma="sigma")
+
+
+@query(
+    "class_strategies",
+    f"""WITH {_FEAT}, {_CLS}, {_YEARS}, bk AS (SELECT year, size, cls FROM yk, (SELECT DISTINCT size FROM lab)), bn AS (SELECT b.year, b.size, b.cls, count(l.asset) + 1 AS n FROM bk b LEFT JOIN lab l ON l.size = b.size AND l.cls = b.cls AND l.year < b.year GROUP BY 1, 2, 3),
+    pb AS (SELECT *, n / sum(n) OVER (PARTITION BY year, size) AS p FROM bn), ap AS (SELECT l.year, t, asset, ret_fwd, z12, pb.cls, p FROM lab l JOIN pb ON pb.year = l.year AND pb.size = l.size WHERE l.year >= 3),
+    sc AS (SELECT t, asset, any_value(ret_fwd) AS ret_fwd, any_value(z12) AS momentum, arg_max(ap.cls, (p, -ap.cls))::DOUBLE AS class, sum(p * (10 - least(ap.cls, 9 - ap.cls)) / 2.0 * CASE WHEN ap.cls < 5 THEN -1 ELSE 1 END) AS dpr, sum(p * mu) AS ret, sum(p * mu) / sqrt(greatest(sum(p * (sigma * sigma + mu * mu)) - sum(p * mu) * sum(p * mu), 1e-12)) AS srp FROM ap JOIN st USING (year, cls) GROUP BY 1, 2),
+    lg AS (SELECT t, asset, ret_fwd, k.strategy, round(CASE k.strategy WHEN 'momentum' THEN momentum WHEN 'class' THEN class WHEN 'dpr' THEN dpr WHEN 'ret' THEN ret ELSE srp END, 10) AS score FROM sc, (VALUES ('momentum'), ('class'), ('dpr'), ('ret'), ('srp')) k(strategy)),
+    kk AS (SELECT *, row_number() OVER (PARTITION BY t, strategy ORDER BY score DESC, asset) AS hi, row_number() OVER (PARTITION BY t, strategy ORDER BY score, asset) AS lo, greatest(ceil(count(*) OVER (PARTITION BY t, strategy) * 0.1), 1) AS k FROM lg)
+    SELECT t, strategy, round(avg(ret_fwd) FILTER (hi <= k) - avg(ret_fwd) FILTER (lo <= k), 6) AS ls FROM kk GROUP BY 1, 2""",
+    ("mret",),
+)
+def class_strategies(spark, sf):
+    """Momentum, the likeliest class, and three scores of the classes' probabilities, from what came of each size
+    decile in the years before: the tenth at either end, month by month."""
+    rows = stored(_labelled(spark, sf).select("year", "t", "asset", "size", "cls", "ret_fwd", "z12"))
+    traded = rows.where("year >= 3")
+    p = traded.drop("cls").join(labels.past_frequencies(rows, "size"), ["year", "size"]).select("year", "t", "asset", "cls", "p")
+    made = labels.strategy_scores(traded, p, labels.yearly_class_statistics(rows, 3), "z12")
+    return rounded(labels.extreme_portfolio(made, "score", keys=("t", "strategy")), "t", "strategy", ls="ls")
+
+
 # --- all graphs of a grid ------------------------------------------------------------------------
 
 _ALPHA_GRID, _BETA_GRID = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4], [0.0, 0.1, 0.3, 1.0, 3.0, 10.0]
