@@ -48,12 +48,12 @@ _FOUND = "item int, item_id long, part int, doc_id long, score long"
 
 
 def _terms(texts: pa.Array) -> Words:
-    texts = texts.cast(pa.large_binary())
-    nulls, bounds, data = texts.buffers()
-    if data is not None:
-        data = pa.py_buffer(_SPACED[np.frombuffer(data, np.uint8)])
-        texts = pa.Array.from_buffers(texts.type, len(texts), [nulls, bounds, data], offset=texts.offset)
-    return Words(texts)
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, bounds, data = texts.buffers()
+    edges = np.frombuffer(bounds, np.int64, len(texts) + 1, texts.offset * 8)
+    # a slice shares its batch's buffer: only its own bytes are looked at
+    data = _SPACED[np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]] if data is not None else np.zeros(0, np.uint8)
+    return Words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((edges - edges[0]).tobytes()), pa.py_buffer(data.tobytes())]))
 
 
 class Postings:
