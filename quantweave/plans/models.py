@@ -2,14 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from quantweave.operators import barrier, classes, graphs, labels, statespace, timewarp, walkforward
+from quantweave.operators import barrier, boosting, classes, graphs, labels, statespace, timewarp, walkforward
 from quantweave.operators import intraday as I
 from quantweave.operators import performance as P
 from quantweave.operators import regression as G
 from quantweave.sources import panels
+from quantweave.sources.stored import stored
 
 from .intraday import _bars
-from .network import _features, _yearly
+from .network import _features, _labelled, _yearly
 from .registry import query
 from .series import rounded
 
@@ -69,6 +70,19 @@ def class_walk_forward(spark, sf):
     return labels.scores(p, stats).select("t", "asset", "dpr", "ret", "srp")
 
 
+@query("boosted_class_strategies")
+def boosted_class_strategies(spark, sf):
+    """Momentum, the likeliest class, dpr, ret and srp by the probabilities of boosted trees refitted after 48 and 60 months,
+    out of sample: the tenth at either end, month by month."""
+    names = ["z1", "z3", "z6", "z9", "z12"]
+    rows = stored(_labelled(spark, sf).select("year", "t", "t_idx", "asset", "cls", "ret_fwd", *names))
+    model = boosting.fit(rows, names, starts=[48, 60], runs=2, rounds=6, depth=3, bins=32, rate=0.3, patience=3)
+    traded = rows.where("t_idx >= 48").drop("cls")
+    p = traded.join(boosting.probabilities(model, traded), ["t", "asset"]).select("year", "t", "asset", "cls", "p")
+    made = labels.strategy_scores(traded, p, labels.yearly_class_statistics(rows, 3), "z12")
+    return rounded(labels.extreme_portfolio(made, "score", keys=("t", "strategy")), "t", "strategy", ls="ls")
+
+
 @query("volatility_chain")
 def volatility_chain(spark, sf):
     panel = I.volume_deviation(I.bar_panel(_bars(spark, sf)))
