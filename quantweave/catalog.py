@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantweave.plans import factors, intraday, models, momentum, network, periods, series, studies  # noqa: F401  each registers its queries
+from quantweave.plans import factors, intraday, models, momentum, network, periods, refits, series, studies  # noqa: F401  each registers its queries
 from quantweave.plans.registry import ORACLES, QUERIES, Query
 
 
