@@ -206,7 +206,8 @@ def sample_dates(bars: DataFrame) -> DataFrame:
 
 
 def fit_and_predict(panel: DataFrame, train_end, smoothing: float = 0.94) -> DataFrame:
-    """Bars after trade date `train_end` with tod, tod_v, x_t and h_pred; nothing of them enters the fit.
+    """Bars after trade date `train_end` with tod, tod_v, x_t and h_pred; nothing of them enters the fit. All four are
+    null in a bar whose ticker or time of day the training never saw; the bars around it are predicted as if it were not there.
 
     Trained: volume means and deviations, time-of-day means of log_r2 and slopes on the
     lagged volume deviation, each by time of day. x_t is the exponential average of what
@@ -229,7 +230,9 @@ def fit_and_predict(panel: DataFrame, train_end, smoothing: float = 0.94) -> Dat
         return {"x_t": x}
 
     made = fold(late, smooth, {"x_t": "double"}, ("ticker",), "ts")
-    return made.withColumn("h_pred", F.col("tod") + F.col("tod_v") + F.col("x_t")).drop("_m", "_s", "_rest", "beta")
+    made = made.withColumn("h_pred", F.col("tod") + F.col("tod_v") + F.col("x_t")).drop("_m", "_s", "_rest", "beta")
+    unseen = panel.where(~early).join(volume.select("ticker", "interval"), ["ticker", "interval"], "left_anti")
+    return made.unionByName(unseen, allowMissingColumns=True)
 
 
 def managed_strategies(bars: DataFrame, window: int, bars_a_day: int, cost_bps: float = 1.0, delay: int = 2) -> DataFrame:

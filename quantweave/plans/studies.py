@@ -90,7 +90,8 @@ def sample_dates(spark, sf):
     be AS (SELECT ticker, interval, coalesce(sum(v1 * (log_r2 - tod)) / nullif(sum(v1 * v1), 0), 0) AS beta FROM r1 WHERE early GROUP BY 1, 2),
     l AS (SELECT ticker, ts, tod, beta * v1 AS tod_v, log_r2 - tod - beta * v1 AS rest, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS k FROM r1 JOIN be USING (ticker, interval) WHERE NOT early),
     x AS (SELECT ticker, k, 0.0::DOUBLE AS x FROM l WHERE k = 1 UNION ALL SELECT x.ticker, x.k + 1, 0.94 * x.x + 0.06 * (l.rest - x.x) FROM x JOIN l ON l.ticker = x.ticker AND l.k = x.k JOIN l n ON n.ticker = x.ticker AND n.k = x.k + 1)
-    SELECT l.ticker, l.ts, round(tod, 6) AS tod, round(tod_v, 6) AS tod_v, round(x, 5) AS x_t, round(tod + tod_v + x, 5) AS h_pred FROM l JOIN x ON x.ticker = l.ticker AND x.k = l.k""",
+    SELECT l.ticker, l.ts, round(tod, 6) AS tod, round(tod_v, 6) AS tod_v, round(x, 5) AS x_t, round(tod + tod_v + x, 5) AS h_pred FROM l JOIN x ON x.ticker = l.ticker AND x.k = l.k
+    UNION ALL SELECT ticker, ts, NULL, NULL, NULL, NULL FROM p, cut WHERE trade_date > d AND NOT EXISTS (SELECT 1 FROM st WHERE st.ticker = p.ticker AND st.interval = p.interval)""",
 )
 def volatility_forecast(spark, sf):
     """Fitted on the first six tenths of the trade dates, predicted on the rest."""
