@@ -162,8 +162,7 @@ def normalised_graph(spark, sf):
 @query("propagated_features", _PROPAGATED)
 def propagated_features(spark, sf):
     e = panels.read(spark, sf, "embeddings").select(F.lit(0).alias("t"), F.col("vec_id").alias("asset"), F.col("embedding")[0].cast("double").alias("f1"), F.col("embedding")[1].cast("double").alias("f2"))
-    edges = graphs.normalise(graphs.whole_cosine_graph(_vectors(spark, sf), 8), e)
-    return rounded(graphs.propagate(edges, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
+    return rounded(graphs.whole_propagated(_vectors(spark, sf), 8, e, ["f1", "f2"]), "asset", f1="f1", f2="f2")
 
 
 @query(

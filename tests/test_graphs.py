@@ -35,3 +35,30 @@ def test_equal_cosines_join_the_nearest(spark):
     rows = spark.createDataFrame(data, "t int, asset long, k int, v double")
     want = {tuple(r) for r in graphs.cosine_graph(rows, 8).collect()}
     assert want and {tuple(r) for r in graphs.whole_cosine_graph(rows.drop("t"), 8).collect()} == want
+
+
+def test_no_pair_and_no_edge_is_shuffled(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(60, 4)).astype(np.float32).astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for q in ("cosine_graph", "normalised_graph", "propagated_features"):
+        plan = catalog.queries()[q](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "FlatMapGroupsInArrow" not in plan
+        # the vectors by block, and of the features the sums by asset
+        keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert all(k.startswith(("block#", "asset#")) for k in keys)
+
+
+def test_copies_nulls_and_one_direction_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    x = np.random.default_rng(6).normal(size=(40, 4)).astype(np.float32).astype(float)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, [1.0, 0.0, 0.5, 0.0]), (50, [0.0] * 4), (51, x[3].tolist())]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for q in ("cosine_graph", "normalised_graph", "propagated_features"):
+        got = catalog.queries()[q](spark, str(tmp_path))
+        want = con.execute(catalog.oracles()[q])
+        names = [c[0] for c in want.description]
+        ours, theirs = sorted(tuple(r) for r in got.select(*names).collect()), sorted(want.fetchall())
+        assert [r[:-2] for r in ours] == [r[:-2] for r in theirs] and np.allclose(np.array(ours, float), np.array(theirs, float), atol=2e-6)
