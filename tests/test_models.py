@@ -209,3 +209,16 @@ def test_streamed_recursions_are_batch_ones(spark, tmp_path):
         (tmp_path / name).mkdir()
         got = _streamed(spark, tmp_path / name, df, lambda rows, step=step: stream.recursion(rows, step), f"streamed_{name}").orderBy("ts").collect()
         assert [r.result for r in got] == pytest.approx(want.tolist())
+
+
+def test_class_walk_forward_leaves_the_sales_after_one_pass(spark):
+    from pathlib import Path
+
+    from quantweave import catalog
+
+    sf = Path("/root/testdata/sf0.001")
+    if not sf.is_dir():
+        pytest.skip("the driver's tables are not here")
+    made = catalog.queries()["class_walk_forward"](spark, str(sf))
+    assert "l_shipdate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() > 0
