@@ -17,7 +17,7 @@ def draw(low_below: Column, *parts: Column) -> Column:
 def block_index(periods: DataFrame, block: int, samples: int, seed: int = 42) -> DataFrame:
     """(sample, pos, t_idx): circular blocks of `block` periods from drawn starts, laid out to the
     length of the calendar (t_idx from 0). A row a sample and period: no values are copied."""
-    n = periods.agg(F.count_distinct("t_idx").alias("n"))
+    n = periods.agg(F.count_distinct("t_idx").alias("n")).where("n > 0")
     rows = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("n", "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
     start = draw(F.col("n"), F.lit(seed), F.col("sample"), F.floor(F.col("pos") / block))
     return rows.select("sample", "pos", ((start + F.col("pos") % block) % F.col("n")).alias("t_idx"))
