@@ -232,18 +232,15 @@ def _step(weights, bias, seen, cell, features, rate: float) -> None:
     """A gradient step over a batch, in place; a feature's rate falls with the
     squared gradients that its row has seen."""
     width = weights.shape[1]
-    place, cells = np.zeros(len(weights), np.int64), np.arange(width)
     p, total = _masses(weights, bias, features)
     p /= total[:, None]
     p[np.arange(len(cell)), cell] -= 1
-    flat = p.ravel()
     for f in features:
-        here = np.zeros(len(weights), bool)
-        here[f] = True
-        at = np.flatnonzero(here)
-        place[at] = np.arange(len(at))
-        to = (place[f] * width)[:, None] + cells
-        slope = np.bincount(to.ravel(), weights=flat, minlength=len(at) * width).reshape(-1, width).astype(np.float32)
+        order = np.argsort(f, kind="stable")
+        row = f[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        at = row[first]
+        slope = np.add.reduceat(p[order], first, axis=0, dtype=np.float64).astype(np.float32)
         seen[at] += np.einsum("ij,ij->i", slope, slope) / width
         weights[at] -= slope * (rate / np.sqrt(seen[at]))[:, None]
 

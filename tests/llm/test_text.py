@@ -82,3 +82,20 @@ def test_other_tokenizers_are_refused():
 
     with pytest.raises(ValueError, match="white space"):
         ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_a_gradient_step_adds_up_the_rows_of_a_feature():
+    import numpy as np
+
+    from quantweave.llm import maxent
+
+    rng = np.random.default_rng(3)
+    start, bias = rng.normal(size=(8, 3)).astype(np.float32), np.zeros(3, np.float32)
+    cell, features = rng.integers(0, 3, 50), [rng.integers(0, 8, 50)]
+    weights, seen = start.copy(), np.ones(8, np.float32)
+    maxent._step(weights, bias, seen, cell, features, 0.1)
+    p = np.exp(start[features[0]])
+    p /= p.sum(axis=1, keepdims=True)
+    slope = np.zeros((8, 3))
+    np.add.at(slope, features[0], p - np.eye(3)[cell])
+    assert np.allclose(weights, start - 0.1 * slope / np.sqrt(1 + (slope**2).mean(axis=1, keepdims=True)), atol=1e-5)
