@@ -228,6 +228,27 @@ def _slot_scores(model: Model, tokens: Tokens) -> np.ndarray:
     return out
 
 
+def _row_sums(p: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that a feature names, and the sums of p's rows by them.
+
+    p's rows are sorted by the feature; within a run of equal ones each second
+    row goes to the one before it, then each second of those left, and so on."""
+    order = np.argsort(feature.astype(np.uint16), kind="stable")  # ROWS_LOG2 is below 16: a radix sort
+    row, size = feature[order], len(feature)
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, size)
+    many = np.diff(ends, prepend=0)
+    first = ends - many
+    place = np.arange(size) - np.repeat(first, many)
+    left = np.repeat(many, many) - place
+    own, k = p.take(order, axis=0), 1
+    to = np.flatnonzero((place & 1 == 0) & (left > 1))
+    while len(to):
+        own[to] += own.take(to + k, axis=0)
+        k *= 2
+        to = to[(place[to] & (2 * k - 1) == 0) & (left[to] > k)]
+    return row[first], own.take(first, axis=0)
+
+
 def _step(weights, bias, seen, cell, features, rate: float) -> None:
     """A gradient step over a batch, in place; a feature's rate falls with the
     squared gradients that its row has seen."""
@@ -236,13 +257,10 @@ def _step(weights, bias, seen, cell, features, rate: float) -> None:
     p /= total[:, None]
     p[np.arange(len(cell)), cell] -= 1
     for f in features:
-        order = np.argsort(f, kind="stable")
-        row = f[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        at = row[first]
-        slope = np.add.reduceat(p[order], first, axis=0, dtype=np.float64).astype(np.float32)
+        at, slope = _row_sums(p, f)
         seen[at] += np.einsum("ij,ij->i", slope, slope) / width
-        weights[at] -= slope * (rate / np.sqrt(seen[at]))[:, None]
+        slope *= (rate / np.sqrt(seen[at]))[:, None]
+        weights[at] -= slope
 
 
 def _biases(counts: Counts) -> tuple[np.ndarray, np.ndarray]:

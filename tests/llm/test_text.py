@@ -99,3 +99,19 @@ def test_a_gradient_step_adds_up_the_rows_of_a_feature():
     slope = np.zeros((8, 3))
     np.add.at(slope, features[0], p - np.eye(3)[cell])
     assert np.allclose(weights, start - 0.1 * slope / np.sqrt(1 + (slope**2).mean(axis=1, keepdims=True)), atol=1e-5)
+
+
+def test_sums_of_a_features_rows_are_those_of_a_loop():
+    import numpy as np
+
+    from quantweave.llm import maxent
+
+    rng = np.random.default_rng(4)
+    top = (1 << maxent.ROWS_LOG2) - 1
+    for feature in (rng.integers(0, 9, 1000), rng.zipf(1.3, 4096) % (top + 1), np.full(77, top), np.arange(50)[::-1], np.array([5])):
+        p = rng.normal(size=(len(feature), 4)).astype(np.float32)
+        whole = np.zeros((top + 1, 4))
+        np.add.at(whole, feature, p.astype(np.float64))
+        at, sums = maxent._row_sums(p, feature)
+        assert at.tolist() == np.unique(feature).tolist()
+        assert np.allclose(sums, whole[at], atol=1e-4)
