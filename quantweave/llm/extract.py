@@ -11,9 +11,12 @@ contents; the tokens that its suffixes cover go, unique runs stay. A shorter
 block goes only as a whole, and if most of the host's contents carry it. Copies
 and near copies have one content: what they share is their text, not the host's.
 
-Pages are dealt by host. A host of more than PAGES pages is dealt by a hash into
-parts of about that many pages, and each part judges its own pages by the same
-shares, so no task holds a large host.
+All counts are those of the whole host, however large. A host is dealt into parts
+of about PAGES pages by their contents, and three passes over the same shuffled
+parts count over all of them: parts name the candidates, count these, and cut
+what the sums make boilerplate. A run on a share of a host's contents is on that
+share of at least one part's contents, so no candidate is missed; how pages are
+dealt moves work, never a result.
 """
 
 import html
@@ -22,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Words, mix, slices
@@ -35,6 +38,8 @@ CONTENTS, SHARE = 3, 1 / 3
 IN_ARTICLE, ELSEWHERE, SHORT = 1 / 4, 1 / 20, 1 / 2
 #: Pages of a part of a host, and the most hosts that may be dealt into parts: with more pages the parts grow.
 PAGES, LARGE_HOSTS = 512, 1 << 20
+#: Pages of a content that a task sends to the content's part; it spreads what copies follow.
+TOGETHER = 2
 #: Bytes of text that are sorted at a time; one part of a host may have FULL.
 TEXT, FULL = 1 << 23, 1 << 25
 #: Share of a block's characters inside links from which it is a menu.
@@ -252,71 +257,248 @@ def _contents(words: np.ndarray, left: np.ndarray, starts: np.ndarray) -> np.nda
     return mix(np.minimum.reduceat(four, starts) * np.uint64(31) + np.minimum.reduceat(mix(four ^ np.uint64(0x5BD1E995)), starts))
 
 
-def _tally(name: np.ndarray, page: np.ndarray, content: np.ndarray, group: np.ndarray, total: np.ndarray, share) -> np.ndarray:
-    """Whether each suffix lies in a row of equal names that is boilerplate.
+class Runs:
+    """The suffixes of LONG tokens and the short blocks of pages, named by their text and host.
 
-    Suffixes are sorted by name, then content and page: steps of these within a
-    row of equal names count its contents and pages."""
+    `texts` are the pages' blocks, `kinds` those of all blocks in a row, `host` numbers of
+    the pages' hosts. A name's last bit tells a short block."""
+
+    def __init__(self, texts: pa.ListArray, kinds: np.ndarray, host: np.ndarray):
+        self.sizes = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = texts.flatten()
+        self.blocks = flat.to_pylist()
+        self.words = words = Words(flat)
+        many = np.diff(words.bounds)
+        page_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.block = np.repeat(np.arange(len(self.blocks)), many)
+        page = page_of[self.block]
+        self.left = words.bounds[1:][self.block] - np.arange(len(self.block))
+        #: pages with words, and where these begin
+        self.filled = np.flatnonzero(np.bincount(page, minlength=len(self.sizes)))
+        self.begin = np.searchsorted(page, self.filled)
+        salt = mix(host.astype(np.uint64) + np.uint64(0xA5A5))
+        self.at = np.flatnonzero(self.left >= LONG)
+        self.short = np.flatnonzero((many < LONG) & (many > 0))
+        name = _names(words.hash, LONG)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        place = np.arange(len(self.block)) - words.bounds[:-1][self.block]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash + place.astype(np.uint64)), dtype=np.uint64)])
+        whole = (sums[words.bounds[1:]] - sums[words.bounds[:-1]])[self.short]
+        self.page = np.concatenate([page[self.at], page_of[self.short]])
+        self.name = mix(np.concatenate([name, whole]) ^ salt[self.page]) >> np.uint64(1) << np.uint64(1)
+        self.name[len(self.at) :] |= np.uint64(1)
+        self.in_article = kinds[self.block[self.at]] == 0
+        self.share = np.concatenate([np.where(self.in_article, IN_ARTICLE, ELSEWHERE), np.full(len(self.short), SHORT)])
+
+    def contents(self) -> np.ndarray:
+        """Numbers of the filled pages' contents."""
+        return _contents(self.words.hash, self.left, self.begin) if len(self.filled) else np.zeros(0, np.uint64)
+
+    def cut(self, common: np.ndarray) -> list[str]:
+        """The text of each page without the runs that are boilerplate."""
+        blocks, bounds = list(self.blocks), self.words.bounds
+        starts = self.at[common[: len(self.at)]]
+        step = np.zeros(len(self.block) + 1, np.int64)
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + LONG, -1)
+        gone = np.cumsum(step)[:-1] > 0
+        for b in np.flatnonzero(np.bincount(self.block[gone], minlength=len(blocks))):
+            keep = ~gone[bounds[b] : bounds[b + 1]]
+            # a block's tokens are its words between single spaces; what else is white space to Unicode stays inside a token
+            blocks[b] = " ".join(w for w, k in zip(blocks[b].split(" "), keep, strict=True) if k)
+        for b in self.short[common[len(self.at) :]]:
+            blocks[b] = ""
+        return _joined(blocks, self.sizes)
+
+
+def _joined(blocks: list[str], sizes: np.ndarray) -> list[str]:
+    return ["\n".join(t for t in blocks[e - n : e] if t) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+
+
+def _steps(*keys: np.ndarray) -> list[np.ndarray]:
+    """For rows sorted by keys: where each key, or one before it, is new."""
+    out, new = [], np.arange(len(keys[0])) == 0
+    for k in keys:
+        new = new.copy()
+        new[1:] |= k[1:] != k[:-1]
+        out.append(new)
+    return out
+
+
+def _tally(name: np.ndarray, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each name with each of its contents, and on how many of the content's pages it is."""
     order = np.lexsort((page, content, name))
     n, c, p = name[order], content[order], page[order]
-    first = np.ones(len(n), bool)
-    first[1:] = n[1:] != n[:-1]
-    new_content = first.copy()
-    new_content[1:] |= c[1:] != c[:-1]
-    new_page = new_content.copy()
-    new_page[1:] |= p[1:] != p[:-1]
-    starts = np.flatnonzero(first)
-    contents, pages = (np.add.reduceat(x, starts, dtype=np.int64) for x in (new_content, new_page))
-    row = np.cumsum(first) - 1
-    common = (contents >= CONTENTS) & (contents >= pages * SHARE)
-    out = np.zeros(len(n), bool)
-    out[order] = common[row] & (contents[row] >= total[group[order]] * (share[order] if np.ndim(share) else share))
-    return out
+    _, first, pages = _steps(n, c, p)
+    at = np.flatnonzero(first)
+    return n[at], c[at], np.add.reduceat(pages, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+
+
+def _by_name(name: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of a sorted tally, their contents and their pages."""
+    at = np.flatnonzero(_steps(name)[0])
+    return name[at], np.diff(np.append(at, len(name))), np.add.reduceat(pages, at) if len(at) else pages
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is among `some`, which are sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
 def clean(texts: pa.ListArray, kinds: np.ndarray, group: np.ndarray) -> list[str]:
-    """The text of each page without its group's boilerplate: `texts` are the pages'
-    blocks, `kinds` those of all blocks in a row, `group` numbers of the pages' groups."""
-    sizes = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = texts.flatten()
-    blocks = flat.to_pylist()
-    ends = np.cumsum(sizes)
-    cut = np.zeros(len(blocks), bool)
-    gone = np.zeros(0, bool)
-    words = Words(flat)
-    if len(words.hash):
-        many = np.diff(words.bounds)
-        page_of = np.repeat(np.arange(len(sizes)), sizes)
-        block = np.repeat(np.arange(len(blocks)), many)
-        page = page_of[block]
-        left = words.bounds[1:][block] - np.arange(len(block))
-        salt = mix(np.arange(int(group.max()) + 1, dtype=np.uint64) + np.uint64(0xA5A5))
-        filled = np.flatnonzero(np.bincount(page, minlength=len(sizes)))
-        content = np.zeros(len(sizes), np.uint64)
-        content[filled] = _contents(words.hash, left, np.searchsorted(page, filled))
-        total = np.bincount(np.unique(np.stack([group[filled].astype(np.uint64), content[filled]]), axis=1)[0].astype(np.int64), minlength=len(salt))
-        at = np.flatnonzero(left >= LONG)
-        gone = np.zeros(len(block), bool)
-        if len(at):
-            name = mix(_names(words.hash, LONG)[at] ^ salt[group[page[at]]])
-            share = np.where(kinds[block[at]] == 0, IN_ARTICLE, ELSEWHERE)
-            starts = at[_tally(name, page[at], content[page[at]], group[page[at]], total, share)]
-            step = np.zeros(len(block) + 1, np.int64)
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + LONG, -1)
-            gone = np.cumsum(step)[:-1] > 0
-        short = np.flatnonzero((many < LONG) & (many > 0))
-        if len(short):
-            place = np.arange(len(block)) - words.bounds[:-1][block]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash + place.astype(np.uint64)), dtype=np.uint64)])
-            whole = mix((sums[words.bounds[1:]] - sums[words.bounds[:-1]])[short] ^ salt[group[page_of[short]]])
-            cut[short] = _tally(whole, page_of[short], content[page_of[short]], group[page_of[short]], total, SHORT)
-        touched = np.flatnonzero(np.bincount(block[gone], minlength=len(blocks)))
-        for b in touched:
-            keep = ~gone[words.bounds[b] : words.bounds[b + 1]]
-            # a block's tokens are its words between single spaces; what else is white space to Unicode stays inside a token
-            blocks[b] = " ".join(w for w, k in zip(blocks[b].split(" "), keep, strict=True) if k)
-    return ["\n".join(t for t, c in zip(blocks[e - n : e], cut[e - n : e], strict=True) if t and not c) for e, n in zip(ends, sizes, strict=True)]
+    """The text of each page without its group's boilerplate, for groups that lie here whole:
+    `texts` are the pages' blocks, `kinds` those of all blocks in a row, `group` numbers of the pages' groups."""
+    runs = Runs(texts, kinds, group)
+    content, filled = np.zeros(len(group), np.uint64), runs.filled
+    content[filled] = runs.contents()
+    total = np.bincount(np.unique(np.stack([group[filled].astype(np.uint64), content[filled]]), axis=1)[0].astype(np.int64), minlength=int(group.max(initial=0)) + 1)
+    n, _, p = _tally(runs.name, content[runs.page], runs.page)
+    name, contents, pages = _by_name(n, p)
+    at = np.searchsorted(name, runs.name)
+    common = (contents >= CONTENTS) & (contents >= pages * SHARE)
+    return runs.cut(common[at] & (contents[at] >= total[group[runs.page]] * runs.share) if len(at) else np.zeros(0, bool))
+
+
+#: Columns of the dealt pages.
+_PAGES = ["page_id", "url", "host", "parts", "part", "content", "away", "dealt", "kinds", "texts"]
+
+
+def _pieces(batches):
+    """Tables of whole parts, or pieces of a part of more than FULL bytes, and the contents that go on from the
+    piece before (None: none do) and beyond this one."""
+    held, size, before = [], 0, None
+
+    def piece(table, more):
+        nonlocal before
+        last = tuple(table.column(c)[len(table) - 1].as_py() for c in ("host", "part", "content"))
+        first = tuple(table.column(c)[0].as_py() for c in ("host", "part", "content"))
+        on = before[2] if before is not None and before == first else None
+        before = last if more else None
+        return table, on, last[2] if more else None
+
+    for batch in batches:
+        for some in slices(batch.append_column("bytes", pc.binary_join(batch.column("texts"), " ")), "bytes"):
+            held.append(pa.Table.from_batches([some.drop_columns(["bytes"])]))
+            size += sum(pc.fill_null(pc.binary_length(some.column("bytes")), 0).to_pylist())
+            if size < TEXT:
+                continue
+            table = pa.concat_tables(held)
+            host, part = table.column("host").to_numpy(), table.column("part").to_numpy()
+            # the last part may go on in what follows
+            last = int(np.flatnonzero((host != host[-1]) | (part != part[-1])).max(initial=-1)) + 1
+            more = size >= FULL
+            if more:
+                last = len(table)
+            if last:
+                yield piece(table.slice(0, last), more)
+                held = [table.slice(last)] if last < len(table) else []
+                size = sum(x.nbytes for x in held)
+    if held:
+        yield piece(pa.concat_tables(held), False)
+
+
+def _runs(table: pa.Table) -> Runs:
+    kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8)
+    return Runs(table.column("texts").combine_chunks(), kinds, table.column("host").to_numpy())
+
+
+def _at_home(table: pa.Table, on) -> tuple[np.ndarray, np.ndarray]:
+    """Hosts of the table and how many contents have their part, or its first piece, here."""
+    host, content = table.column("host").to_numpy(), table.column("content").to_numpy()
+    home = ~table.column("away").to_numpy(zero_copy_only=False)
+    if on is not None:
+        home &= content != on
+    hosts, index = np.unique(host, return_inverse=True)
+    return hosts, np.bincount(np.unique(np.stack([index[home], content[home]]), axis=1)[0], minlength=len(hosts))
+
+
+def _candidates(batches):
+    """Names on enough of a piece's contents that they may be boilerplate of the host, and contents that lie in several pieces."""
+    for table, on, beyond in _pieces(batches):
+        runs, (hosts, own) = _runs(table), _at_home(table, on)
+        content, index = table.column("content").to_numpy(), np.searchsorted(hosts, table.column("host").to_numpy())
+        parts = np.zeros(len(hosts), np.int64)
+        parts[index] = table.column("parts").to_numpy()
+        n, _, p = _tally(runs.name, content[runs.page], runs.page)
+        name, contents, _ = _by_name(n, p)
+        # what share of a host's contents has a run, that share of a piece's own has it at least somewhere
+        likely = contents[np.searchsorted(name, runs.name)] >= own[index[runs.page]] * runs.share - 1e-6 if len(name) else np.zeros(0, bool)
+        found, first = np.unique(runs.name[likely], return_index=True)
+        of = index[runs.page[likely][first]]
+        many = table.column("away").to_numpy(zero_copy_only=False) & (content != 0)
+        many |= np.isin(content, [c for c in (on, beyond) if c])
+        spread, first = np.unique(content[many], return_index=True)
+        to = index[many][first]
+        none = [None]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(hosts[np.concatenate([of, to])], pa.int64()),
+                pa.array(parts[np.concatenate([of, to])], pa.int32()),
+                pa.concat_arrays([pa.array(found.view(np.int64)), pa.array(none * len(spread), pa.int64())]),
+                pa.concat_arrays([pa.array(none * len(found), pa.int64()), pa.array(spread, pa.int64())]),
+            ],
+            names=["host", "parts", "name", "content"],
+        )
+
+
+def _brought(table: pa.Table, column: str, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that the parts' first rows bring, sorted, and the last part's; `before` are the last part's of the piece before."""
+    got = [np.asarray(x, np.int64) for x in table.column(column).to_pylist() if x is not None]
+    first = table.column("lead").to_pylist()
+    last = np.flatnonzero(first)
+    last = before if not len(last) else np.asarray(table.column(column)[int(last[-1])].as_py() or [], np.int64)
+    return np.unique(np.concatenate([*got, *([] if first[0] else [before]), np.zeros(0, np.int64)])), last
+
+
+def _counts(batches):
+    """Contents and pages of the candidates; contents that lie in several pieces by themselves, and each host's contents under no name."""
+    names = spread = np.zeros(0, np.int64)
+    for table, on, beyond in _pieces(batches):
+        known, names = _brought(table, "names", names)
+        several, spread = _brought(table, "spread", spread)
+        hosts, own = _at_home(table, on)
+        host, content = table.column("host").to_numpy(), table.column("content").to_numpy()
+        index = np.searchsorted(hosts, host)
+        parts = np.zeros(len(hosts), np.int64)
+        parts[index] = table.column("parts").to_numpy()
+        rows = [(np.arange(len(hosts)), None, None, own, np.zeros(len(hosts), np.int64))]
+        if len(known):
+            runs = _runs(table)
+            found = np.flatnonzero(_among(runs.name.view(np.int64), known))
+            name, page = runs.name[found].view(np.int64), runs.page[found]
+            one, first = np.unique(name, return_index=True)
+            of = index[page[first]]
+            n, c, p = _tally(name, content[page], page)
+            alone = _among(c, several) | np.isin(c, [x for x in (on, beyond) if x])
+            rows.append((of[np.searchsorted(one, n[alone])], n[alone], c[alone], np.ones(alone.sum(), np.int64), p[alone]))
+            n, contents, pages = _by_name(n[~alone], p[~alone])
+            rows.append((of[np.searchsorted(one, n)], n, None, contents, pages))
+        for at, n, c, contents, pages in rows:
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts[at], pa.int64()), pa.array(parts[at], pa.int32()), none if n is None else pa.array(n), none if c is None else pa.array(c), pa.array(contents, pa.int64()), pa.array(pages, pa.int64())],
+                names=["host", "parts", "name", "content", "contents", "pages"],
+            )
+
+
+def _without(batches):
+    """The pages' texts without what is boilerplate."""
+    names = strong = np.zeros(0, np.int64)
+    for table, _, _ in _pieces(batches):
+        known, names = _brought(table, "names", names)
+        everywhere, strong = _brought(table, "strong", strong)
+        if len(known):
+            runs = _runs(table)
+            name = runs.name.view(np.int64)
+            common = _among(name, known)
+            common[: len(runs.at)] &= ~runs.in_article | _among(name[: len(runs.at)], everywhere)
+            text = runs.cut(common)
+        else:
+            texts = table.column("texts").combine_chunks()
+            text = _joined(texts.flatten().to_pylist(), texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        ids = table.select(["page_id", "url"]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([ids.column("page_id").combine_chunks(), ids.column("url").combine_chunks(), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -337,44 +519,57 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 30))
 
     def parse(batches):
+        seen: dict[int, int] = {}
         for batch in batches:
             for some in slices(batch, "html"):
                 made = [[x for x in blocks(h or "") if x[0] < 2] for h in some.column("html").to_pylist()]
+                kinds, texts = [bytes(k for k, _ in m) for m in made], pa.array([[t for _, t in m] for m in made], pa.list_(pa.string()))
+                host = some.column("host").to_numpy()
+                words = Words(texts.flatten())
+                content, away = np.zeros(len(host), np.int64), np.ones(len(host), bool)
+                if len(words.hash):
+                    many = np.diff(words.bounds)
+                    block = np.repeat(np.arange(len(many)), many)
+                    page = np.repeat(np.arange(len(made)), [len(m) for m in made])[block]
+                    filled = np.flatnonzero(np.bincount(page, minlength=len(made)))
+                    number = _contents(words.hash, words.bounds[1:][block] - np.arange(len(block)), np.searchsorted(page, filled))
+                    # 0 is no content
+                    content[filled] = (mix(number ^ mix(host[filled].view(np.uint64))) | np.uint64(1)).view(np.int64)
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    for i in filled.tolist():
+                        c = int(content[i])
+                        seen[c] = n = seen.get(c, 0) + 1
+                        away[i] = n > TOGETHER
                 kept = [some.column(c) for c in ("page_id", "url", "host", "dealt")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([bytes(k for k, _ in m) for m in made], pa.binary()), pa.array([[t for _, t in m] for m in made], pa.list_(pa.string()))], names=["page_id", "url", "host", "dealt", "kinds", "texts"])
-
-    parsed = named.withColumn("dealt", dealt).select("page_id", "url", "host", "dealt", "html").mapInArrow(parse, "page_id long, url string, host long, dealt long, kinds binary, texts array<string>")
-    parted = parsed.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod("dealt", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    by_host = parted.repartition("host", "part").sortWithinPartitions("host", "part", "dealt", "page_id")
-
-    def judge(batches):
-        def out(table: pa.Table) -> pa.RecordBatch:
-            host, part = table.column("host").to_numpy(), table.column("part").to_numpy()
-            new = np.ones(len(host), bool)
-            new[1:] = (host[1:] != host[:-1]) | (part[1:] != part[:-1])
-            kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8)
-            text = clean(table.column("texts").combine_chunks(), kinds, np.cumsum(new) - 1)
-            ids = table.select(["page_id", "url"]).combine_chunks()
-            return pa.RecordBatch.from_arrays([ids.column("page_id").combine_chunks(), ids.column("url").combine_chunks(), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        held, size = [], 0
-        for batch in batches:
-            for some in slices(batch.append_column("bytes", pc.binary_join(batch.column("texts"), " ")), "bytes"):
-                held.append(pa.Table.from_batches([some.drop_columns(["bytes"])]))
-                size += sum(pc.fill_null(pc.binary_length(some.column("bytes")), 0).to_pylist())
-                if size < TEXT:
-                    continue
-                table = pa.concat_tables(held)
-                host, part = table.column("host").to_numpy(), table.column("part").to_numpy()
-                # the last group may go on in what follows
-                last = int(np.flatnonzero((host != host[-1]) | (part != part[-1])).max(initial=-1)) + 1
-                if size >= FULL:
-                    last = len(table)
-                if last:
-                    yield out(table.slice(0, last))
-                    held = [table.slice(last)] if last < len(table) else []
-                    size = sum(x.nbytes for x in held)
-        if held:
-            yield out(pa.concat_tables(held))
-
-    return by_host.mapInArrow(judge, "page_id long, url string, text string, n_chars long")
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(content), pa.array(away), pa.array(kinds, pa.binary()), texts], names=["page_id", "url", "host", "dealt", "content", "away", "kinds", "texts"])
+
+    parsed = named.withColumn("dealt", dealt).select("page_id", "url", "host", "dealt", "html").mapInArrow(parse, "page_id long, url string, host long, dealt long, content long, away boolean, kinds binary, texts array<string>")
+    parts = F.coalesce("parts", F.lit(1)).cast("int")
+    parted = parsed.join(F.broadcast(large), "host", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.when(F.col("away"), F.col("dealt")).otherwise(F.xxhash64("content")), F.col("parts")).cast("int"))
+    by_host = parted.select(*_PAGES).repartition("host", "part").sortWithinPartitions("host", "part", "content", "dealt", "page_id")
+
+    def beside(sets: DataFrame) -> DataFrame:
+        """The parts, sorted, each with its host's row of `sets` beside its first page."""
+        every = sets.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed("host", "of_host").drop("parts")
+        first = F.row_number().over(Window.partitionBy("host", "part").orderBy("content", "dealt", "page_id")) == 1
+        here = (F.col("host") == F.col("of_host")) & (F.col("part") == F.col("of_part")) & F.col("lead")
+        return by_host.withColumn("lead", first).join(every, here, "left").drop("of_host", "of_part").sortWithinPartitions("host", "part", "content", "dealt", F.desc("lead"), "page_id")
+
+    likely = by_host.mapInArrow(_candidates, "host long, parts int, name long, content long")
+    likely = likely.groupBy("host", "parts").agg(F.collect_set("name").alias("names"), F.collect_set("content").alias("spread"))
+    counted = beside(likely).mapInArrow(_counts, "host long, parts int, name long, content long, contents long, pages long")
+    counted = counted.groupBy("host", "parts", "name", "content").agg(F.sum("contents").alias("contents"), F.sum("pages").alias("pages"))
+    one = F.when(F.col("content").isNull(), F.col("contents")).otherwise(1)
+    counted = counted.groupBy("host", "parts", "name").agg(F.sum(one).alias("contents"), F.sum("pages").alias("pages"))
+    some = (F.col("contents") >= CONTENTS) & (F.col("contents") >= F.col("pages") * F.lit(SHARE))
+    found = F.collect_list(F.when(F.col("name").isNotNull() & some, F.struct("name", "contents")))
+    hosts = counted.groupBy("host", "parts").agg(F.sum(F.when(F.col("name").isNull(), F.col("contents"))).alias("total"), found.alias("found"))
+
+    def names(share):
+        return F.transform(F.filter("found", lambda x: x["contents"] >= F.col("total") * share(x["name"])), lambda x: x["name"])
+
+    short = lambda name: name.bitwiseAND(F.lit(1)) == 1
+    least = names(lambda name: F.when(short(name), F.lit(SHORT)).otherwise(F.lit(ELSEWHERE)))
+    common = hosts.select("host", "parts", least.alias("names"), names(lambda name: F.lit(IN_ARTICLE)).alias("strong"))
+    return beside(common).mapInArrow(_without, "page_id long, url string, text string, n_chars long")

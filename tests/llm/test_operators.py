@@ -480,6 +480,28 @@ def test_a_large_host_is_dealt_into_parts(spark, monkeypatch):
     assert len(got) == 130 and all(len(r["text"].split()) == 40 for r in got)
 
 
+@pytest.mark.parametrize("pages", [4, 16, 512])
+def test_how_a_host_is_dealt_changes_no_text(spark, monkeypatch, pages):
+    """Runs about the least shares, with many copies and near copies, against the whole host in one piece."""
+    rng = np.random.default_rng(11)
+    runs = [_prose(rng, 20) for _ in range(12)]
+    bodies = [_prose(rng, 30).split() for _ in range(60)]
+    data = []
+    for i in range(240):
+        body = list(bodies[min(int(rng.integers(0, 120)), 59)])
+        if i % 3:
+            body[int(rng.integers(0, 30))] = f"near{i % 7}"
+        own = [f"<p>{' '.join(body)}</p>"] + [f"<p>{r}</p>" for k, r in enumerate(runs) if rng.random() < (k + 1) / 40] + ["<p>Read more</p>"] * int(rng.random() < 0.52)
+        data.append((i, f"http://{'h' if i % 12 else 'small'}.example.com/x", ("<article>" if i % 2 else "<body>") + "".join(own)))
+    monkeypatch.setattr(extract, "PAGES", pages)
+    got = {r["page_id"]: r["text"] for r in rows(extract.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)))}
+    made = [[b for b in extract.blocks(h) if b[0] < 2] for _, _, h in data]
+    group = np.array(["small" in u for _, u, _ in data], int)
+    whole = extract.clean(pa.array([[t for _, t in m] for m in made], pa.list_(pa.string())), np.array([k for m in made for k, _ in m], np.uint8), group)
+    assert [got[i] for i in range(240)] == whole
+    assert sum(w != "\n".join(t for _, t in m) for w, m in zip(whole, made)) > 20
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 
