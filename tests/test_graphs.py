@@ -62,3 +62,21 @@ def test_copies_nulls_and_one_direction_as_in_sql(spark, tmp_path):
         names = [c[0] for c in want.description]
         ours, theirs = sorted(tuple(r) for r in got.select(*names).collect()), sorted(want.fetchall())
         assert [r[:-2] for r in ours] == [r[:-2] for r in theirs] and np.allclose(np.array(ours, float), np.array(theirs, float), atol=2e-6)
+
+
+@pytest.mark.parametrize("ordered", [100, 1 << 21])
+def test_tasks_round_weights_and_put_them_in_order(spark, tmp_path, monkeypatch, ordered):
+    monkeypatch.setattr(graphs, "BLOCK", 64)
+    monkeypatch.setattr(graphs, "ORDERED", ordered)
+    x = np.random.default_rng(7).normal(size=(300, 8)).astype(np.float32).astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = graphs.whole_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding")
+    for q, exact in (("cosine_graph", graphs.whole_cosine_graph),):
+        got = catalog.queries()[q](spark, str(tmp_path))
+        assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString()
+        parts = got.rdd.glom().collect()
+        want = {(r.i, r.j): r.w for r in exact(rows, 8).collect()}
+        have = {(r.i, r.j): r.w for part in parts for r in part}
+        assert have.keys() == want.keys() and sum(map(len, parts)) == len(want)
+        assert all(abs(have[k] - want[k]) < 5.1e-7 and have[k] == round(have[k], 6) for k in want)
+        assert ordered == 100 or all(a.w <= b.w for part in parts for a, b in zip(part, part[1:]))
