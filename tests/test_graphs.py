@@ -80,3 +80,13 @@ def test_tasks_round_weights_and_put_them_in_order(spark, tmp_path, monkeypatch,
         assert have.keys() == want.keys() and sum(map(len, parts)) == len(want)
         assert all(abs(have[k] - want[k]) < 5.1e-7 and have[k] == round(have[k], 6) for k in want)
         assert q == "normalised_graph" or ordered == 100 or all(a.w <= b.w for part in parts for a, b in zip(part, part[1:]))
+
+
+def test_passes_that_leave_sums_cross_few_partitions(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("SLAB", 1 << 10), ("SIDES", 2)):
+        monkeypatch.setattr(graphs, name, value, raising=False)
+    x = np.random.default_rng(8).normal(size=(100, 8))
+    rows = graphs.whole_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "a long, v array<double>"), "a", "v")
+    whole = graphs._Whole(rows, 8)
+    assert whole.parts == 7 and whole.edges().rdd.getNumPartitions() == 49
+    assert whole.pairs(lambda pairs: iter(()), "asset long").rdd.getNumPartitions() == 4
